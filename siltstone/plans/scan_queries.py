@@ -1,0 +1,4 @@
+"""Queries of the content scan (filled in below the change queries)."""
+
+QUERIES: dict = {}
+SQL: dict = {}
