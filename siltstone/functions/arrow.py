@@ -2,11 +2,35 @@
 
 from __future__ import annotations
 
+import io
+import os
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers of the session (once per application)."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = Path(__file__).resolve().parent.parent
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*")):
+            if p.is_file() and p.suffix in (".py", ".ebnf", ".json", ".txt"):
+                z.write(p, p.relative_to(root.parent))
+    at = os.path.join(tempfile.mkdtemp(prefix="siltstone-code-"), "siltstone_code.zip")  # read by the driver's file server only
+    Path(at).write_bytes(data.getvalue())
+    spark.sparkContext.addPyFile(at)
+    _shipped.add(app)
+
 
 def map_rows(df: DataFrame, make: Callable[[], Callable[..., Iterable[tuple]]], schema: StructType | str) -> DataFrame:
     """Flat-map rows through Python, batch by batch.
@@ -30,6 +54,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[..., Iterable[tuple]]],
                 cols = zip(*rows)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, out)], schema=out)
 
+    ship(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
@@ -49,4 +74,5 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], It
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), out)], schema=out)
 
+    ship(df.sparkSession)
     return df.mapInArrow(run, schema)
