@@ -9,17 +9,16 @@ from __future__ import annotations
 import json
 import re
 from functools import cache
-from pathlib import Path
+from importlib.resources import files
 
 from siltstone.llm.chart import Grammar, Recogniser
 
-HERE = Path(__file__).parent / "grammars"
 LANGUAGES = ("python", "javascript", "bash", "json", "yaml", "toml")
 
 
 @cache
 def recogniser(language: str) -> Recogniser:
-    return Recogniser(Grammar((HERE / f"{language}.ebnf").read_text(), "file"))
+    return Recogniser(Grammar(files("siltstone.llm").joinpath("grammars", f"{language}.ebnf").read_text(), "file"))
 
 
 def first_error(language: str, text: str) -> tuple[int, str] | None:
