@@ -46,7 +46,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[..., Iterable[tuple]]],
         import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        out = to_arrow_schema(schema, timezone="UTC")
+        out = to_arrow_schema(schema)
         fn = make()
         for b in batches:
             rows = [t for r in zip(*(c.to_pylist() for c in b.columns)) for t in fn(*r)]
@@ -67,7 +67,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], It
         import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        out = to_arrow_schema(schema, timezone="UTC")
+        out = to_arrow_schema(schema)
         fn = make()
         for b in batches:
             rows = list(fn(dict(zip(b.schema.names, (c.to_pylist() for c in b.columns)))))
