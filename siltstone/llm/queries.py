@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import invalid_source
+from siltstone.llm import credentials, invalid_source
 from siltstone.sources.tables import table
 
 
@@ -24,5 +24,19 @@ def p1_analysed_before(spark: SparkSession, d: str) -> DataFrame:
     return invalid_source.analysed_before(table(spark, d, "skill_file"), table(spark, d, "ast_finding"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_errors, p1_rates, p1_analysed_before)}
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    c = credentials.credentials(table(spark, d, "skill_file"), table(spark, d, "finding"))
+    return c.select("origin", "row_id", "line_no")
+
+
+def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return credentials.redacted(table(spark, d, "skill_file"), table(spark, d, "finding"))
+
+
+def p2_by_rule(spark: SparkSession, d: str) -> DataFrame:
+    f = table(spark, d, "finding")
+    return credentials.by_rule(f, credentials.credentials(table(spark, d, "skill_file"), f))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_errors, p1_rates, p1_analysed_before, p2_found, p2_redacted, p2_by_rule)}
 SQL: dict[str, str] = {}
