@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import credentials, invalid_source
+from siltstone.llm import containers, credentials, invalid_source, leakage
 from siltstone.sources.tables import table
 
 
@@ -38,5 +38,30 @@ def p2_by_rule(spark: SparkSession, d: str) -> DataFrame:
     return credentials.by_rule(f, credentials.credentials(table(spark, d, "skill_file"), f))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_errors, p1_rates, p1_analysed_before, p2_found, p2_redacted, p2_by_rule)}
+def p6_containers(spark: SparkSession, d: str) -> DataFrame:
+    return containers.fill(table(spark, d, "documents"), table(spark, d, "container_profile"))
+
+
+def p6_usage(spark: SparkSession, d: str) -> DataFrame:
+    profiles = table(spark, d, "container_profile")
+    return containers.usage(containers.fill(table(spark, d, "documents"), profiles), profiles)
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "bench_item")).select("doc_id", "item_id")
+
+
+def p7_leaked_items(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked_items(leakage.leaks(table(spark, d, "documents"), table(spark, d, "bench_item")))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p1_found, p1_errors, p1_rates, p1_analysed_before,
+        p2_found, p2_redacted, p2_by_rule,
+        p6_containers, p6_usage,
+        p7_found, p7_leaked_items,
+    )
+}
 SQL: dict[str, str] = {}

@@ -282,7 +282,10 @@ def _line(text: str, a: int, e: int, before: str) -> Iterator[tuple[list[tuple[i
         if i and (line[i - 1].isalnum() or line[i - 1] in "_"):
             continue
         if secret_value(m.group(), "", "format") and not PATTERN.search(line[i : m.end() + 6]):
-            yield [(a + i, a + m.end())], "format"
+            spans = [(a + i, a + m.end())]
+            if i and line[i - 1] in "\"'" and line[m.end() : m.end() + 1] == line[i - 1]:
+                spans = _pieces(text, a + i, line[i - 1], e)[1]
+            yield spans, "format"
     if (w := PROSE.search(line)):
         prose = line
         comment = re.search(r"(?:^|\s)(?:#|//|/?\*|--|;|REM\b|<!--)|`|\"\"\"|^[A-Z][a-z]+ |^\s*[-*>] ", prose)
