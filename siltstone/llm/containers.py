@@ -13,7 +13,7 @@ length is sorted in one task) and looked up in the plan.
 
 from __future__ import annotations
 
-from functools import partial
+from functools import cache, partial
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -29,14 +29,19 @@ BUCKETS = 64
 MOST_BROADCAST_ROWS = 200_000
 
 
-def _counter(vocabulary: str, pattern: str):
+@cache
+def _encoding(vocabulary: str, pattern: str):
     import base64
 
     import tiktoken
 
     with open(vocabulary, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
+def _counter(vocabulary: str, pattern: str):
+    enc = _encoding(vocabulary, pattern)
 
     def batch(cols: dict[str, list]):
         for i, t in zip(cols["doc_id"], cols["text"]):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import containers, credentials, invalid_source, leakage
+from siltstone.llm import containers, credentials, invalid_source, language, leakage
 from siltstone.sources.tables import table
 
 
@@ -55,6 +55,18 @@ def p7_leaked_items(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_items(leakage.leaks(table(spark, d, "documents"), table(spark, d, "bench_item")))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return language.languages(table(spark, d, "documents"), table(spark, d, "lang_code")).where("NOT as_labelled").select("doc_id", "lang_code")
+
+
+def p8_languages(spark: SparkSession, d: str) -> DataFrame:
+    return language.languages(table(spark, d, "documents"), table(spark, d, "lang_code"))
+
+
+def p8_segments(spark: SparkSession, d: str) -> DataFrame:
+    return language.language_segments(table(spark, d, "documents"), table(spark, d, "lang_code"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -62,6 +74,7 @@ QUERIES = {
         p2_found, p2_redacted, p2_by_rule,
         p6_containers, p6_usage,
         p7_found, p7_leaked_items,
+        p8_found, p8_languages, p8_segments,
     )
 }
 SQL: dict[str, str] = {}
