@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import containers, credentials, invalid_source, language, leakage
+from siltstone.llm import containers, credentials, handwritten, invalid_source, language, leakage
 from siltstone.sources.tables import table
 
 
@@ -38,6 +38,15 @@ def p2_by_rule(spark: SparkSession, d: str) -> DataFrame:
     return credentials.by_rule(f, credentials.credentials(table(spark, d, "skill_file"), f))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return handwritten.machine_made(table(spark, d, "skill_file")).select("file_id")
+
+
+def p4_kinds(spark: SparkSession, d: str) -> DataFrame:
+    f = table(spark, d, "skill_file")
+    return handwritten.kinds_by_language(f, handwritten.machine_made(f))
+
+
 def p6_containers(spark: SparkSession, d: str) -> DataFrame:
     return containers.fill(table(spark, d, "documents"), table(spark, d, "container_profile"))
 
@@ -72,6 +81,7 @@ QUERIES = {
     for f in (
         p1_found, p1_errors, p1_rates, p1_analysed_before,
         p2_found, p2_redacted, p2_by_rule,
+        p4_found, p4_kinds,
         p6_containers, p6_usage,
         p7_found, p7_leaked_items,
         p8_found, p8_languages, p8_segments,
