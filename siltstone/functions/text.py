@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -88,3 +89,8 @@ def entropy(text: Column) -> Column:
 
 def any_contains(text: Column, words: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words])
+
+
+def tagged(xs: Column, tag: str, value: object, name: str, fn: Callable[[Column], Column] | None = None) -> Column:
+    """Array of (tag, value of ``fn``) for each entry; a lambda with defaults would be taken for one of two arguments."""
+    return F.transform(xs, lambda x: F.struct(F.lit(value).alias(tag), (fn(x) if fn else x).alias(name)))

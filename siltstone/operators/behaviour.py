@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.functions.text import explode_lines
+from siltstone.functions.text import explode_lines, tagged
 from siltstone.rules import packs
 from siltstone.rules.fold import JAVA, any_of, first_hit, folded, gate, pick
 from siltstone.sources.packages import for_engine
@@ -54,7 +54,7 @@ def endpoints(f: DataFrame) -> DataFrame:
     """``file_id, label, url, host, scheme, port, is_ip``: addresses that code calls, over whole texts."""
     src = for_engine(f, "network").where(F.lower("text").rlike(r"http|curl|wget|socket|client\.|fetch|axios"))
     parts = [
-        F.transform(F.regexp_extract_all("text", F.lit("(?iud)" + p), F.lit(g)), lambda u, n=n: F.struct(F.lit(n).alias("label"), u.alias("url")))
+        tagged(F.regexp_extract_all("text", F.lit("(?iud)" + p), F.lit(g)), "label", n, "url")
         for n, g, p in packs.ENDPOINTS
     ]
     e = src.select("file_id", F.explode(F.concat(*parts)).alias("e")).select("file_id", "e.label", "e.url").where("url <> ''")
@@ -97,9 +97,8 @@ def network_lines(f: DataFrame) -> DataFrame:
     src = for_engine(f, "network")
     fam = lambda rules, name, sev, skip=None: first_per_line(src, rules, skip).select("file_id", "line_no", F.lit(name).alias("family"), "label", F.lit(sev).alias("severity"))
     c2 = fam(packs.C2, "c2", "CRITICAL")
-    multi = src.join(c2.select("file_id").distinct(), "file_id", "left_anti").select(
-        "file_id", F.lit(0).alias("line_no"), F.lit("c2_multi").alias("family"), pick([n for n, _ in packs.C2_MULTI], first_hit(F.col("text"), [p for _, p in packs.C2_MULTI], "(?iu)")).alias("label"), F.lit("CRITICAL").alias("severity")
-    ).where("label IS NOT NULL")
+    multi = src.join(c2.select("file_id").distinct(), "file_id", "left_anti").withColumn("ix", first_hit(F.col("text"), [p for _, p in packs.C2_MULTI], "(?iu)")).where("ix IS NOT NULL")
+    multi = multi.select("file_id", F.lit(0).alias("line_no"), F.lit("c2_multi").alias("family"), pick([n for n, _ in packs.C2_MULTI], F.col("ix")).alias("label"), F.lit("CRITICAL").alias("severity"))
     return fam(packs.EXFIL, "exfil", "HIGH", F.lower("line").rlike(TRUSTED)).unionByName(fam(packs.COVERT, "covert", "HIGH")).unionByName(c2).unionByName(multi)
 
 

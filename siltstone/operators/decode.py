@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.functions.text import entropy, explode_lines
+from siltstone.functions.text import entropy, explode_lines, tagged
 from siltstone.sources.packages import LOCKFILES, for_engine
 
 # Code points.
@@ -71,7 +69,7 @@ def decoded_lines(f: DataFrame) -> DataFrame:
         "hex_list": (r"((?:0x[0-9a-fA-F]{2}\s*,\s*){7,}0x[0-9a-fA-F]{2})", 1, lambda s: hex_text(F.regexp_replace(s, r"0x|\s|,", ""))),
     }
     parts = [
-        F.transform(F.regexp_extract_all(line, F.lit(p), F.lit(g)), lambda m, k=k, fn=fn: F.struct(F.lit(k).alias("technique"), fn(m).alias("decoded")))
+        tagged(F.regexp_extract_all(line, F.lit(p), F.lit(g)), "technique", k, "decoded", fn)
         for k, (p, g, fn) in finds.items()
     ]
     return (

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siltstone.functions.text import explode_lines, explode_lines_in_context, fence_ranges, front_matter_end, lines
+from siltstone.functions.text import explode_lines, explode_lines_in_context, fence_ranges, front_matter_end, lines, tagged
 from siltstone.rules import packs
 from siltstone.rules.fold import JAVA, any_of, folded, gate, hits, pick
 from siltstone.sources.packages import for_engine, reference_json
@@ -103,10 +103,10 @@ def signature_findings(f: DataFrame) -> DataFrame:
     rows = explode_lines(src.select("file_id", "pkg_id", "rel_path", "kind", "cand", "text"))
     parts = []
     k = 0
-    for rule, _, _, kinds, patterns, excludes in rules:
+    for n, (_, _, _, kinds, patterns, excludes) in enumerate(rules):
         m = reduce(lambda a, b: a | b, [F.array_contains("cand", k + j) & F.col("line").rlike("(?d)" + p) for j, p in enumerate(patterns)])
         k += len(patterns)
-        parts.append(F.when(F.col("kind").isin(*kinds) & m & ~F.col("line").rlike("(?d)" + any_of(excludes)), F.lit(rules.index((rule, _, _, kinds, patterns, excludes)))))
+        parts.append(F.when(F.col("kind").isin(*kinds) & m & ~F.col("line").rlike("(?d)" + any_of(excludes)), F.lit(n)))
     rows = rows.withColumn("ix", F.explode(F.array_compact(F.array(*parts))))
     return rows.select(
         "file_id", "pkg_id", "rel_path", "line_no",
@@ -161,7 +161,7 @@ def probe_hits(f: DataFrame) -> DataFrame:
         F.when(F.array_contains("cand", k), F.regexp_extract_all("text", F.lit(JAVA + p), F.lit(0))).otherwise(F.array().cast("array<string>"))
         for k, p in enumerate(pats)
     ]
-    all_ = F.concat(*[F.transform(x, lambda m, k=k: F.struct(F.lit(k).alias("ix"), m.alias("matched"))) for k, x in enumerate(per)])
+    all_ = F.concat(*[tagged(x, "ix", k, "matched") for k, x in enumerate(per)])
     return src.select("file_id", "pkg_id", F.explode(all_).alias("h")).select(
         "file_id", "pkg_id", *[pick([p[k] for p in packs.PROBES], F.col("h.ix")).alias(n) for k, n in ((0, "rule_id"), (1, "category"), (2, "severity"))], "h.matched"
     )
