@@ -33,7 +33,7 @@ def explode_lines_in_context(files: DataFrame, keep: list[str], text: str = "tex
             F.slice(ls, F.greatest(F.lit(1), i - around), F.least(i + around, F.size(ls)) - F.greatest(F.lit(1), i - around) + 1).alias("ctx"),
         ),
     )
-    return files.withColumn("_ls", lines(F.col(text))).select(*keep, F.explode(row).alias("_r")).select(*keep, "_r.line_no", "_r.line", "_r.ctx")
+    return pinned(files, "_ls", lines(F.col(text))).select(*keep, F.explode(row).alias("_r")).select(*keep, "_r.line_no", "_r.line", "_r.ctx")
 
 
 def fence_ranges(ls: Column) -> Column:
@@ -67,24 +67,17 @@ def front_matter_end(ls: Column, most: int = 100) -> Column:
 def entropy(text: Column) -> Column:
     """Shannon entropy in bits over code points, rounded to 4 places; 0 for an empty text, null for null.
 
-    One pass that counts into a map would copy the map at every character, so
-    the characters are sorted and the lengths of their runs summed up.
+    For each distinct character the text is shortened by it once, which takes
+    byte searches only and no map or sorted copy of the text.
     """
-    chars = F.array_sort(F.filter(F.split(text, ""), lambda c: c != ""))
-    n = F.size(chars).cast("double")
-    zero = F.struct(F.lit("").alias("c"), F.lit(0).cast("double").alias("k"), F.lit(0).cast("double").alias("h"))
-    part = lambda k: F.when(k > 0, k * F.log2(k)).otherwise(0.0)
-    acc = F.aggregate(
-        chars,
-        zero,
-        lambda a, c: F.struct(
-            c.alias("c"),
-            F.when(a["c"] == c, a["k"] + 1).otherwise(1.0).alias("k"),
-            F.when(a["c"] == c, a["h"]).otherwise(a["h"] + part(a["k"])).alias("h"),
-        ),
-        lambda a: a["h"] + part(a["k"]),
-    )
-    return F.when(text.isNull(), None).when(F.length(text) == 0, 0.0).otherwise(F.round(F.log2(n) - acc / n, 4))
+    chars = F.array_distinct(F.filter(F.split(text, ""), lambda c: c != ""))
+    n = F.length(text).cast("double")
+
+    def part(acc: Column, c: Column) -> Column:
+        k = (F.octet_length(text) - F.octet_length(F.replace(text, c, F.lit("")))) / F.octet_length(c)
+        return acc + k * F.log2(k)
+
+    return F.when(text.isNull(), None).when(F.length(text) == 0, 0.0).otherwise(F.round(F.log2(n) - F.aggregate(chars, F.lit(0.0), part) / n, 4))
 
 
 def any_contains(text: Column, words: list[str]) -> Column:
@@ -94,3 +87,8 @@ def any_contains(text: Column, words: list[str]) -> Column:
 def tagged(xs: Column, tag: str, value: object, name: str, fn: Callable[[Column], Column] | None = None) -> Column:
     """Array of (tag, value of ``fn``) for each entry; a lambda with defaults would be taken for one of two arguments."""
     return F.transform(xs, lambda x: F.struct(F.lit(value).alias(tag), (fn(x) if fn else x).alias(name)))
+
+
+def pinned(df: DataFrame, name: str, expr: Column) -> DataFrame:
+    """Add a column that is computed once a row, however often it is used: the optimizer doesn't merge across a generator."""
+    return df.select("*", F.explode(F.array(expr)).alias(name))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.functions.text import explode_lines, tagged
+from siltstone.functions.text import explode_lines, pinned, tagged
 from siltstone.rules import packs
 from siltstone.rules.fold import JAVA, any_of, first_hit, folded, gate, pick
 from siltstone.sources.packages import for_engine
@@ -23,12 +23,12 @@ def either(cs: list[Column]) -> Column:
 def first_per_line(f: DataFrame, rules: list[tuple[str, str]], skip: Column | None = None) -> DataFrame:
     """``file_id, pkg_id, line_no, label``: the first of the ordered patterns on each line."""
     pats = [p for _, p in rules]
-    src = f.where(F.size(gate(folded(F.col("text")), pats)) > 0)
+    src = pinned(f, "_low", folded(F.col("text"))).where(F.size(gate("_low", pats)) > 0)
     rows = explode_lines(src.select("file_id", "pkg_id", "text"))
     if skip is not None:
         rows = rows.where(~skip)
-    rows = rows.withColumn("ix", first_hit(F.col("line"), pats)).where("ix IS NOT NULL")
-    return rows.select("file_id", "pkg_id", "line_no", pick([n for n, _ in rules], F.col("ix")).alias("label"))
+    rows = pinned(rows, "ix", first_hit("line", pats)).where("ix IS NOT NULL")
+    return rows.select("file_id", "pkg_id", "line_no", pick([n for n, _ in rules], "ix").alias("label"))
 
 
 def hook_findings(f: DataFrame) -> DataFrame:
@@ -97,8 +97,8 @@ def network_lines(f: DataFrame) -> DataFrame:
     src = for_engine(f, "network")
     fam = lambda rules, name, sev, skip=None: first_per_line(src, rules, skip).select("file_id", "line_no", F.lit(name).alias("family"), "label", F.lit(sev).alias("severity"))
     c2 = fam(packs.C2, "c2", "CRITICAL")
-    multi = src.join(c2.select("file_id").distinct(), "file_id", "left_anti").withColumn("ix", first_hit(F.col("text"), [p for _, p in packs.C2_MULTI], "(?iu)")).where("ix IS NOT NULL")
-    multi = multi.select("file_id", F.lit(0).alias("line_no"), F.lit("c2_multi").alias("family"), pick([n for n, _ in packs.C2_MULTI], F.col("ix")).alias("label"), F.lit("CRITICAL").alias("severity"))
+    multi = src.join(c2.select("file_id").distinct(), "file_id", "left_anti").withColumn("ix", first_hit("text", [p for _, p in packs.C2_MULTI], "(?iu)")).where("ix IS NOT NULL")
+    multi = multi.select("file_id", F.lit(0).alias("line_no"), F.lit("c2_multi").alias("family"), pick([n for n, _ in packs.C2_MULTI], "ix").alias("label"), F.lit("CRITICAL").alias("severity"))
     return fam(packs.EXFIL, "exfil", "HIGH", F.lower("line").rlike(TRUSTED)).unionByName(fam(packs.COVERT, "covert", "HIGH")).unionByName(c2).unionByName(multi)
 
 

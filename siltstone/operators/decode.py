@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.functions.text import entropy, explode_lines, tagged
+from siltstone.functions.text import entropy, explode_lines, pinned, tagged
 from siltstone.sources.packages import LOCKFILES, for_engine
 
 # Code points.
@@ -119,11 +119,11 @@ def entropy_findings(f: DataFrame) -> DataFrame:
     """``file_id, rule_id, value``: file entropy (001 critical, 002 high), suspicious lines (003 three or more: their mean; 004 exactly one)."""
     src = for_engine(f, "entropy").where(F.length("text") > 0).withColumn("heavy", cjk_heavy(F.col("text"), F.col("ext")))
     limit = lambda k: F.when(F.col("heavy"), F.lit(ENTROPY_CJK[k])).otherwise(F.lit(ENTROPY[k]))
-    whole = src.select("file_id", "heavy", entropy(F.col("text")).alias("value"))
+    whole = pinned(src, "value", entropy(F.col("text"))).select("file_id", "heavy", "value")
     whole = whole.select("file_id", F.when(F.col("value") > limit(0), "ENTROPY_001").when(F.col("value") > limit(1), "ENTROPY_002").alias("rule_id"), "value").where("rule_id IS NOT NULL")
     ln = explode_lines(src.select("file_id", "heavy", "text")).withColumn("s", F.trim(F.regexp_replace("line", r"^\s+|\s+$", ""))).where(F.length("s") >= 20)
     # a line's entropy can't exceed the logarithm of its length
-    ln = ln.where(F.log2(F.length("s")) > limit(1)).withColumn("value", entropy(F.col("s")))
+    ln = pinned(ln.where(F.log2(F.length("s")) > limit(1)), "value", entropy(F.col("s")))
     ln = ln.where((F.col("value") > limit(0)) | ((F.col("value") > limit(1)) & (F.length("s") > 50)))
     by = ln.groupBy("file_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 4).alias("value"))
     by = by.where("n <> 2").select("file_id", F.when(F.col("n") >= 3, "ENTROPY_003").otherwise("ENTROPY_004").alias("rule_id"), "value")
@@ -135,4 +135,4 @@ def long_strings(f: DataFrame) -> DataFrame:
     src = for_engine(f, "entropy").where(~F.col("name").isin(*LOCKFILES))
     found = F.regexp_extract_all("text", F.lit(r"[\"']([A-Za-z0-9+/=_\-]{64,})[\"']"), F.lit(1))
     s = src.where(F.col("text").rlike(r"[A-Za-z0-9+/=_\-]{64}")).select("file_id", F.explode(found).alias("found"))
-    return s.withColumn("value", entropy(F.col("found"))).where(F.col("value") > ENTROPY[2])
+    return pinned(s, "value", entropy(F.col("found"))).where(F.col("value") > ENTROPY[2])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siltstone.functions.text import any_contains, explode_lines
+from siltstone.functions.text import any_contains, explode_lines, pinned
 from siltstone.rules import packs
 from siltstone.rules.fold import JAVA, any_of, folded
 from siltstone.sources.packages import reference_json
@@ -83,14 +83,15 @@ def attack_patterns(f: DataFrame) -> DataFrame:
     files and sends data.
     """
     lits = sorted({x.lower() for _, _, _, x in INDICATORS})
-    src = f.where(~reference_json(F.col("name"))).withColumn("low", folded(F.col("text"))).where(any_contains(F.col("low"), lits))
+    src = pinned(f.where(~reference_json(F.col("name"))), "low", folded(F.col("text"))).where(any_contains(F.col("low"), lits))
     t = F.col("text")
     flags = {
         "trusted_env": any_contains(F.col("low"), packs.TRUSTED) & t.rlike(any_of(packs.ENV_READ)),
         "reads_sends": t.rlike(r"open\(|readFile|read_text") & t.rlike(r"requests\.|fetch\(|urlopen|\.post\("),
     }
     rows = explode_lines(src.select("file_id", "text", *[c.alias(k) for k, c in flags.items()]))
-    low = folded(F.col("line"))
+    rows = pinned(rows, "_ll", folded(F.col("line")))
+    low = F.col("_ll")
     ix = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(x.lower())), F.lit(k)) for k, (_, _, _, x) in enumerate(INDICATORS)]))
     rows = rows.where(any_contains(low, lits)).where(~rule_line(F.col("line")) & ~not_executable(F.col("line"))).withColumn("ix", F.explode(ix))
     pick = lambda k: F.element_at(F.array(*[F.lit(i[k]) for i in INDICATORS]), F.col("ix") + 1)

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siltstone.functions.text import explode_lines, explode_lines_in_context, fence_ranges, front_matter_end, lines, tagged
+from siltstone.functions.text import fence_ranges, front_matter_end, lines, pinned, tagged
 from siltstone.rules import packs
-from siltstone.rules.fold import JAVA, any_of, folded, gate, hits, pick
+from siltstone.rules.fold import JAVA, any_of, folded, gate, literal, pick
 from siltstone.sources.packages import for_engine, reference_json
 
 STATIC_PATTERNS = [(r[0], r[1], r[2], r[3], p) for r in packs.STATIC for p in r[4]]
@@ -25,22 +25,46 @@ def severity_rank(c: Column) -> Column:
     return F.coalesce(F.when(up.isin(*packs.SEVERITY), F.array_position(F.array(*[F.lit(s) for s in packs.SEVERITY]), up).cast("int") - 1), F.lit(1))
 
 
+def candidates(f: DataFrame, patterns: list[str]) -> DataFrame:
+    """Files that may match, with ``cand``: the numbers of the patterns in question."""
+    low = pinned(f, "_low", folded(F.col("text")))
+    return pinned(low, "cand", gate("_low", patterns)).drop("_low").where(F.size("cand") > 0)
+
+
+def line_hits(src: DataFrame, patterns: list[str], keep: list[str], context: int = 0, flags: str = JAVA) -> DataFrame:
+    """``keep, ix, line_no, line`` of every hit, with ``ctx`` (lines around) where ``context`` asks for it.
+
+    A file's lines are searched only with its candidate patterns, and lines
+    without a hit never become rows.
+    """
+    x = pinned(src, "_ls", lines(F.col("text")))
+    x = pinned(x, "_nl", F.transform("_ls", lambda v, i: F.struct((i + 1).alias("line_no"), v.alias("line"))))
+
+    found = [
+        f"CASE WHEN array_contains(cand, {k}) THEN transform(filter(_nl, r -> rlike(r.line, {literal(flags + p)})), r -> named_struct('ix', {k}, 'line_no', r.line_no, 'line', r.line)) END"
+        for k, p in enumerate(patterns)
+    ]
+    per = F.flatten(F.expr(f"array_compact(array({', '.join(found)}))"))
+    x = x.select(*keep, *(["_ls"] if context else []), F.explode(per).alias("_h")).select(*keep, *(["_ls"] if context else []), "_h.*")
+    if context:
+        first = F.greatest(F.lit(1), F.col("line_no") - context)
+        x = x.withColumn("ctx", F.slice("_ls", first, F.least(F.col("line_no") + context, F.size("_ls")) - first + 1)).drop("_ls")
+    return x
+
+
 def static_hits(f: DataFrame, context: bool = False) -> DataFrame:
     """Every hit of every pattern on every line: ``file_id, pkg_id, rel_path, line_no, rule_id, category, severity, cwe_id, pattern_ix``."""
     pats = [p[4] for p in STATIC_PATTERNS]
-    keep = ["file_id", "pkg_id", "rel_path", "name", "ext", "cand"]
-    src = for_engine(f, "static").withColumn("cand", gate(folded(F.col("text")), pats)).where(F.size("cand") > 0)
+    keep = ["file_id", "pkg_id", "rel_path", "name", "ext"]
+    src = candidates(for_engine(f, "static"), pats)
     if context:
-        src = src.withColumn("fences", fence_ranges(lines(F.col("text")))).withColumn("front", front_matter_end(lines(F.col("text"))))
-        rows = explode_lines_in_context(src, [*keep, "fences", "front"])
-    else:
-        rows = explode_lines(src.select(*keep, "text"), keep=keep)
-    rows = rows.withColumn("ix", F.explode(hits(F.col("line"), pats, F.col("cand")))).drop("cand")
-    ix = F.col("ix")
+        src = pinned(pinned(src, "fences", fence_ranges(lines(F.col("text")))), "front", front_matter_end(lines(F.col("text"))))
+        keep += ["fences", "front"]
+    rows = line_hits(src, pats, keep, 4 if context else 0)
     return rows.select(
         "*",
-        *[pick([p[k] for p in STATIC_PATTERNS], ix).alias(n) for k, n in ((0, "rule_id"), (1, "category"), (2, "severity"), (3, "cwe_id"))],
-        ix.alias("pattern_ix"),
+        *[pick([p[k] for p in STATIC_PATTERNS], "ix").alias(n) for k, n in ((0, "rule_id"), (1, "category"), (2, "severity"), (3, "cwe_id"))],
+        F.col("ix").alias("pattern_ix"),
     ).drop("ix")
 
 
@@ -99,18 +123,18 @@ def signature_findings(f: DataFrame) -> DataFrame:
     pats = [p[3] for p in SIG_PATTERNS]
     kind = F.when(F.col("ext").isin("sh", "bash", "zsh"), "sh").when(F.col("ext").isin("js", "mjs"), "js").otherwise(F.col("ext"))
     src = f.withColumn("kind", kind).where(F.col("kind").isin("py", "js", "ts", "sh"))
-    src = src.withColumn("cand", gate(folded(F.col("text")), pats)).where(F.size("cand") > 0)
-    rows = explode_lines(src.select("file_id", "pkg_id", "rel_path", "kind", "cand", "text"))
-    parts = []
-    k = 0
-    for n, (_, _, _, kinds, patterns, excludes) in enumerate(rules):
-        m = reduce(lambda a, b: a | b, [F.array_contains("cand", k + j) & F.col("line").rlike("(?d)" + p) for j, p in enumerate(patterns)])
-        k += len(patterns)
-        parts.append(F.when(F.col("kind").isin(*kinds) & m & ~F.col("line").rlike("(?d)" + any_of(excludes)), F.lit(n)))
-    rows = rows.withColumn("ix", F.explode(F.array_compact(F.array(*parts))))
+    src = candidates(src, pats)
+    rows = line_hits(src, pats, ["file_id", "pkg_id", "rel_path", "kind"], flags="(?d)")
+    rule_of = [n for n, r in enumerate(rules) for _ in r[4]]
+    rows = rows.withColumn("rule", pick(rule_of, "ix"))
+    ok = reduce(
+        lambda a, b: a | b,
+        [(F.col("rule") == n) & F.col("kind").isin(*r[3]) & ~F.col("line").rlike("(?d)" + any_of(r[5])) for n, r in enumerate(rules)],
+    )
+    rows = rows.where(ok).groupBy("file_id", "pkg_id", "rel_path", "line_no", "rule").agg(F.count(F.lit(1)).alias("n_patterns"))
     return rows.select(
         "file_id", "pkg_id", "rel_path", "line_no",
-        *[pick([r[k] for r in rules], F.col("ix")).alias(n) for k, n in ((0, "rule_id"), (1, "category"), (2, "severity"))],
+        *[pick([r[k] for r in rules], "rule").alias(n) for k, n in ((0, "rule_id"), (1, "category"), (2, "severity"))],
     )
 
 
@@ -126,10 +150,8 @@ def trusted_suppression(found: DataFrame, f: DataFrame) -> DataFrame:
 def document_hits(f: DataFrame) -> DataFrame:
     """Social-engineering patterns per line of documents."""
     pats = [p[2] for p in packs.DOCUMENT]
-    src = for_engine(f, "documents").withColumn("cand", gate(folded(F.col("text")), pats)).where(F.size("cand") > 0)
-    rows = explode_lines(src.select("file_id", "pkg_id", "rel_path", "cand", "text"))
-    rows = rows.withColumn("ix", F.explode(hits(F.col("line"), pats, F.col("cand")))).drop("cand")
-    return rows.select("file_id", "pkg_id", "rel_path", "line_no", "line", F.col("ix").alias("pattern_ix"), *[pick([p[k] for p in packs.DOCUMENT], F.col("ix")).alias(n) for k, n in ((0, "category"), (1, "severity"))])
+    rows = line_hits(candidates(for_engine(f, "documents"), pats), pats, ["file_id", "pkg_id", "rel_path"])
+    return rows.select("file_id", "pkg_id", "rel_path", "line_no", "line", F.col("ix").alias("pattern_ix"), *[pick([p[k] for p in packs.DOCUMENT], "ix").alias(n) for k, n in ((0, "category"), (1, "severity"))])
 
 
 CATEGORIES = list(dict.fromkeys(p[0] for p in packs.DOCUMENT))
@@ -156,14 +178,14 @@ def document_findings(f: DataFrame) -> DataFrame:
 def probe_hits(f: DataFrame) -> DataFrame:
     """Prompt probes over whole texts: ``file_id, pkg_id, rule_id, category, severity, matched`` for each occurrence."""
     pats = [p[3] for p in packs.PROBES]
-    src = for_engine(f, "probes").withColumn("cand", gate(folded(F.col("text")), pats)).where(F.size("cand") > 0)
+    src = candidates(for_engine(f, "probes"), pats)
     per = [
         F.when(F.array_contains("cand", k), F.regexp_extract_all("text", F.lit(JAVA + p), F.lit(0))).otherwise(F.array().cast("array<string>"))
         for k, p in enumerate(pats)
     ]
     all_ = F.concat(*[tagged(x, "ix", k, "matched") for k, x in enumerate(per)])
     return src.select("file_id", "pkg_id", F.explode(all_).alias("h")).select(
-        "file_id", "pkg_id", *[pick([p[k] for p in packs.PROBES], F.col("h.ix")).alias(n) for k, n in ((0, "rule_id"), (1, "category"), (2, "severity"))], "h.matched"
+        "file_id", "pkg_id", *[pick([p[k] for p in packs.PROBES], "h.ix").alias(n) for k, n in ((0, "rule_id"), (1, "category"), (2, "severity"))], "h.matched"
     )
 
 

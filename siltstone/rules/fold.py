@@ -10,8 +10,6 @@ from __future__ import annotations
 
 import re
 import re._parser as sre
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,36 +53,39 @@ def folded(text: Column) -> Column:
     return F.translate(F.lower(text), "\u017f\u212a", "sk")
 
 
-def gate(low: Column, patterns: list[str]) -> Column:
-    """Numbers of the patterns that may match a text, given as ``folded``."""
+def literal(v: object) -> str:
+    """A value as Spark SQL; packs are folded as text, as building them call by call takes seconds."""
+    if isinstance(v, str):
+        return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return str(v)
+
+
+def gate(low: str, patterns: list[str]) -> Column:
+    """Numbers of the patterns that may match a text; ``low`` names a column that holds it as ``folded``."""
     parts = []
     for k, p in enumerate(patterns):
         n = needed(p)
-        parts.append(F.lit(k) if n is None else F.when(reduce(lambda a, b: a | b, [F.contains(low, F.lit(x)) for x in n]), F.lit(k)))
-    return chunks(parts)
+        parts.append(f"{k}" if n is None else "CASE WHEN " + " OR ".join(f"contains({low}, {literal(x)})" for x in n) + f" THEN {k} END")
+    return F.expr(chunks(parts))
 
 
-def chunks(parts: list[Column]) -> Column:
-    arrays = [F.array_compact(F.array(*parts[i : i + CHUNK])) for i in range(0, len(parts), CHUNK)]
-    return arrays[0] if len(arrays) == 1 else F.concat(*arrays)
+def chunks(parts: list[str]) -> str:
+    arrays = [f"array_compact(array({', '.join(parts[i : i + CHUNK])}))" for i in range(0, len(parts), CHUNK)]
+    return arrays[0] if len(arrays) == 1 else f"concat({', '.join(arrays)})"
 
 
-def hits(line: Column, patterns: list[str], candidates: Column | None = None, flags: str = JAVA) -> Column:
-    """Numbers of the patterns that match the line, in order."""
-    parts = []
-    for k, p in enumerate(patterns):
-        m = line.rlike(flags + p)
-        parts.append(F.when(m if candidates is None else F.array_contains(candidates, k) & m, F.lit(k)))
-    return chunks(parts)
+def hits(line: str, patterns: list[str], flags: str = JAVA) -> Column:
+    """Numbers of the patterns that match the line of that name, in order."""
+    return F.expr(chunks([f"CASE WHEN rlike({line}, {literal(flags + p)}) THEN {k} END" for k, p in enumerate(patterns)]))
 
 
-def first_hit(line: Column, patterns: list[str], flags: str = JAVA) -> Column:
+def first_hit(line: str, patterns: list[str], flags: str = JAVA) -> Column:
     """Number of the first pattern that matches, null if none does."""
-    return F.coalesce(*[F.when(line.rlike(flags + p), F.lit(k)) for k, p in enumerate(patterns)])
+    return F.expr("CASE " + " ".join(f"WHEN rlike({line}, {literal(flags + p)}) THEN {k}" for k, p in enumerate(patterns)) + " END")
 
 
-def pick(values: list, ix: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), ix + 1)
+def pick(values: list, ix: str) -> Column:
+    return F.expr(f"element_at(array({', '.join(literal(v) for v in values)}), {ix} + 1)")
 
 
 def any_of(patterns: list[str]) -> str:

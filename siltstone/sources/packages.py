@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.sources.tables import table
+from siltstone.sources.tables import spread, table
 
 # Extensions that each engine reads.
 ENGINE_EXT = {
@@ -50,7 +50,7 @@ def from_table(skill_file: DataFrame) -> DataFrame:
 
 
 def files(spark: SparkSession, d: str) -> DataFrame:
-    return from_table(table(spark, d, "skill_file"))
+    return from_table(spread(table(spark, d, "skill_file")))
 
 
 def read_packages(spark: SparkSession, root: str, pattern: str | None = None) -> DataFrame:
