@@ -5,7 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from siltstone.llm import containers, credentials, handwritten, invalid_source, language, leakage
-from siltstone.sources.tables import table
+from siltstone.sources.tables import spread
+from siltstone.sources.tables import table as _table
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    t = _table(spark, d, name)
+    return spread(t) if name in ("skill_file", "finding", "documents") else t
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
