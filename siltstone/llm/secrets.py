@@ -204,12 +204,15 @@ def find(text: str | None) -> list[tuple[int, list[tuple[int, int]], str]]:
         if e - a < 8 or e <= skip_to or not _suspicious(text[a:e]):
             continue
         before = text[text.rfind("\n", 0, a - 1) + 1 : a - 1] if a else ""
+        taken: list[tuple[list[tuple[int, int]], str]] = []
         for spans, kind in _line(text, max(a, skip_to), e, before if len(before) < 400 else ""):
+            if all(y <= u or x >= v for x, y in spans for s, _ in taken for u, v in s):
+                taken.append((spans, kind))
+        if taken:
             number += text.count("\n", at, a)
             at = a
-            out.append((number, spans, kind))
-            skip_to = max(skip_to, spans[-1][1])
-            break
+            out += [(number, spans, kind) for spans, kind in sorted(taken)]
+            skip_to = max(skip_to, *(spans[-1][1] for spans, _ in taken))
     return out
 
 
