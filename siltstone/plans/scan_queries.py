@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import entropy, fence_ranges, front_matter_end, lines
-from siltstone.operators import ast_rules, behaviour, decode, intel, line_rules, packages, scoring
+from siltstone.operators import ast_rules, behaviour, decode, intel, line_rules, packages, review, scoring
 from siltstone.operators.paths import clean_path
 from siltstone.operators.snapshot_diff import baseline_changes
 from siltstone.rules import packs
@@ -708,6 +708,55 @@ def o223_event_windows(s: SparkSession, d: str) -> DataFrame:
     return event_counts(table(s, d, "events"), "ts", "event_type")
 
 
+@query(
+    f"""WITH p AS (SELECT doc_id, lower(unnest(regexp_split_to_array(text, '\\n{{2,}}'))) AS l FROM documents),
+ x AS ({" UNION ALL ".join(f"SELECT doc_id, '{c}' AS category, upper(regexp_extract(l, chr(92) || 'b(critical|high|medium|low)' || chr(92) || 'b', 1)) AS s FROM p WHERE " + " OR ".join(f"contains(l, {quote(w)})" for w in ws) for c, ws in review.CATEGORY_WORDS.items())})
+ SELECT doc_id, category, arg_max(CASE WHEN s = '' THEN 'INFO' ELSE s END, {rank("CASE WHEN s = '' THEN 'INFO' ELSE s END")}) AS severity FROM x GROUP BY 1, 2"""
+)
+def o075_prose_findings(s: SparkSession, d: str) -> DataFrame:
+    return review.prose_findings(table(s, d, "documents"), "doc_id", "text")
+
+
+@query(
+    f"""WITH f AS (SELECT finding_id, skill_name, {PATH} AS path, line_number FROM finding WHERE line_number IS NOT NULL AND file_path IS NOT NULL),
+ s AS (SELECT skill_name, path, arg_min(content, file_id) AS content FROM skill_file GROUP BY 1, 2)
+ SELECT finding_id, {m("array_to_string(string_split(content, chr(10))[greatest(1, line_number - 10):line_number + 10], chr(10))", scoring.NEGATIVE)} AS is_negative FROM f JOIN s USING (skill_name, path)"""
+)
+def o132_negative_examples(s: SparkSession, d: str) -> DataFrame:
+    return review.negative_examples(table(s, d, "finding"), table(s, d, "skill_file"))
+
+
+@query(
+    f"WITH {FOUND} SELECT finding_id, ((row_number() OVER (PARTITION BY pkg_id, file_path ORDER BY finding_id) - 1) // 20)::INT AS batch_no FROM found WHERE severity IN ('MEDIUM', 'HIGH', 'CRITICAL')"
+)
+def o133_review_batches(s: SparkSession, d: str) -> DataFrame:
+    return review.batches(_findings(s, d)).select("finding_id", "batch_no")
+
+
+@query(
+    f"""WITH {FOUND} SELECT finding_id, CASE WHEN finding_id % 7 = 1 THEN 'LOW' ELSE severity END AS severity FROM found WHERE finding_id % 5 <> 0 OR finding_id % 7 = 1"""
+)
+def o134_review_merge(s: SparkSession, d: str) -> DataFrame:
+    """Verdicts made from the id stand in for a reviewer's."""
+    f = _findings(s, d)
+    i = F.col("finding_id")
+    v = table(s, d, "finding").select(
+        "finding_id", F.when(i % 7 == 1, "TP").when(i % 5 == 0, "FP").otherwise("UNCERTAIN").alias("verdict"), F.lit(0.9).alias("verdict_confidence"), F.lit("LOW").alias("true_severity")
+    )
+    return review.merge(f, v).select("finding_id", "severity")
+
+
+@query("SELECT skill_name AS pkg_id, min(path) AS path FROM skill_file GROUP BY 1 HAVING skill_name = 'cobalt-toolbox' OR regexp_matches(skill_name, '^brisk-.*$')")
+def o171_whitelist(s: SparkSession, d: str) -> DataFrame:
+    p = _files(s, d).groupBy("pkg_id").agg(F.min("rel_path").alias("path"))
+    return packages.whitelisted(p, ["cobalt-toolbox"], ["brisk-*"], [])
+
+
+@query("SELECT doc_id, CASE WHEN lower(regexp_split_to_array(trim(lang), '[-_.]')[1]) IN ('zh', 'cn', 'chinese') THEN 'zh' ELSE 'en' END AS ui_lang FROM documents")
+def o208_normal_language(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "documents").select("doc_id", review.normal_language(F.col("lang")).alias("ui_lang"))
+
+
 @query(f"WITH {FINDINGS}, found AS (SELECT pkg_id, severity FROM kept), {_score(packs.WEIGHT_MAIN, 5)}")
 def scan_results(s: SparkSession, d: str) -> DataFrame:
     """The flagship: files to static findings in context to scores, one row a package."""
