@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.text import fence_ranges, front_matter_end, lines, pinned, tagged
 from siltstone.rules import packs
-from siltstone.rules.fold import JAVA, any_of, folded, gate, literal, pick
+from siltstone.rules.fold import JAVA, any_of, folded, gate, literal, looks_around, pick
 from siltstone.sources.packages import for_engine, reference_json
 
-STATIC_PATTERNS = [(r[0], r[1], r[2], r[3], p) for r in packs.STATIC for p in r[4]]
+_STATIC = [(r[0], r[1], r[2], r[3], p) for r in packs.STATIC for p in r[4]]
+#: Those that SQL can hold; in STATIC_ALL the rest stand behind them, so that both number alike.
+STATIC_PATTERNS = [p for p in _STATIC if not looks_around(p[4])]
+STATIC_ALL = STATIC_PATTERNS + [p for p in _STATIC if looks_around(p[4])]
 SIG_PATTERNS = [(r[0], r[1], r[2], p) for r in packs.SIGNATURES for p in r[4]]
 DOC_TEXT = ["md", "txt", "rst"]
 SHELL = ["sh", "bash", "zsh"]
@@ -54,7 +57,7 @@ def line_hits(src: DataFrame, patterns: list[str], keep: list[str], context: int
 
 def static_hits(f: DataFrame, context: bool = False) -> DataFrame:
     """Every hit of every pattern on every line: ``file_id, pkg_id, rel_path, line_no, rule_id, category, severity, cwe_id, pattern_ix``."""
-    pats = [p[4] for p in STATIC_PATTERNS]
+    pats = [p[4] for p in STATIC_ALL]
     keep = ["file_id", "pkg_id", "rel_path", "name", "ext"]
     src = candidates(for_engine(f, "static"), pats)
     if context:
@@ -63,7 +66,7 @@ def static_hits(f: DataFrame, context: bool = False) -> DataFrame:
     rows = line_hits(src, pats, keep, 4 if context else 0)
     return rows.select(
         "*",
-        *[pick([p[k] for p in STATIC_PATTERNS], "ix").alias(n) for k, n in ((0, "rule_id"), (1, "category"), (2, "severity"), (3, "cwe_id"))],
+        *[pick([p[k] for p in STATIC_ALL], "ix").alias(n) for k, n in ((0, "rule_id"), (1, "category"), (2, "severity"), (3, "cwe_id"))],
         F.col("ix").alias("pattern_ix"),
     ).drop("ix")
 

@@ -103,6 +103,11 @@ def re2(p: str) -> str:
     return p.replace("(?<![a-zA-Z0-9_])", "(?:^|[^a-zA-Z0-9_])")
 
 
+def looks_around(p: str) -> bool:
+    """Whether RE2 has no such pattern, so that SQL can't hold it."""
+    return re.search(r"\(\?<?[=!]", re2(p)) is not None
+
+
 def values(name: str, columns: list[str], rows: list[tuple]) -> str:
     """A CTE of literal rows."""
     body = ", ".join("(" + ", ".join(quote(x) for x in r) + ")" for r in rows)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 # Line rules, by category.
 STATIC = [
-    ("TOXIC_001", "backdoor", "CRITICAL", "CWE-506", [r"bash\s+-i\s+>&\s*/dev/tcp", r"nc\s+-e\s*/bin/(?:ba)?sh"]),
+    ("TOXIC_001", "backdoor", "CRITICAL", "CWE-506", [r"bash\s+-i\s+>&\s*/dev/tcp", r"nc\s+-e\s*/bin/(?:ba)?sh", r"/bin/(?:ba)?sh\s+-i"]),
     ("TOXIC_002", "backdoor", "HIGH", "CWE-784", [r"crontab\s+-[el]", r"echo.*>>.*(?:bashrc|zshrc|profile)", r"launchctl\s+(?:load|start)"]),
     ("CRED_001", "credential_leak", "CRITICAL", "CWE-798", [r"(?:aws_access_key_id|aws_secret_access_key)\s*[=:]\s*\S{16,}"]),
     ("CRED_002", "credential_leak", "CRITICAL", "CWE-798", [r"sk-[a-zA-Z0-9]{48}", r"openai.*api.*key\s*[=:]\s*sk-[a-zA-Z0-9]+"]),
@@ -21,7 +21,7 @@ STATIC = [
     ("DANGER_002", "dangerous_functions", "HIGH", "CWE-78", [r"os\.system\s*\(", r"subprocess\.(?:run|call|Popen)\s*\("]),
     ("EXFIL_001", "data_exfiltration", "HIGH", "CWE-530", [r"tar\s+czf", r"zip\s+-r", r"find\s+.*-type\s+f.*\.(?:pem|key|env|json)", r"cp\s+-r\s+~"]),
     ("EXFIL_002", "data_exfiltration", "HIGH", "CWE-200", [r"cat\s+\.env", r"grep\s+.*\.(?:env|key|secret)", r"export\s+.*(?:API_KEY|SECRET|TOKEN|PASSWORD)"]),
-    ("MASB_001", "malicious_code", "CRITICAL", "CWE-78", [r"nc\s+-e", r"bash\s+-i\s+>&\s*/dev/tcp", r"reverse\s+shell"]),
+    ("MASB_001", "malicious_code", "CRITICAL", "CWE-78", [r"/dev/tcp/", r"nc\s+-e", r"bash\s+-i\s+>&\s*/dev/tcp", r"reverse\s+shell"]),
     ("MASB_020", "malicious_code", "CRITICAL", "CWE-400", [r"xmrig", r"cryptonight", r"stratum\+tcp://", r"mining\s+pool"]),
     ("MASB_030", "malicious_code", "CRITICAL", "CWE-532", [r"curl.*\|\s*bash", r"wget.*\|\s*sh", r"transmit\s+to\s+external", r"exfiltrat(e|ion)\s+data"]),
     ("MASB_040", "malicious_code", "CRITICAL", "CWE-269", [r"sudo\s+su", r"su\s+root", r"chmod\s+[47]\d\d", r"privilege\s+escalat"]),
@@ -38,7 +38,7 @@ STATIC = [
     ("PROMPT_001", "prompt_injection", "HIGH", "CWE-1333", [r"ignore\s+(?:all\s+)?previous\s+instructions", r"forget\s+(?:all\s+)?previous\s+instructions", r"disregard\s+(?:all\s+)?prior\s+instructions"]),
     ("PROMPT_002", "prompt_injection", "HIGH", "CWE-1333", [r"do\s+not\s+tell\s+the\s+user", r"keep\s+this\s+secret", r"do\s+not\s+reveal", r"never\s+mention"]),
     ("PROMPT_003", "prompt_injection", "HIGH", "CWE-1333", [r"you\s+are\s+now\s+in\s+(?:developer|debug|test|god)\s+mode", r"activate\s+(?:god\s+)?mode", r"bypass\s+(?:all\s+)?safety\s+(?:filters|checks)"]),
-    ("CLAWHAVOC_001", "remote_execution", "CRITICAL", "CWE-829", [r"(?:glot\.io|rentry\.co|pastebin\.com).*?(?:curl|wget|fetch)"]),
+    ("CLAWHAVOC_001", "remote_execution", "CRITICAL", "CWE-829", [r"(?:glot\.io|rentry\.co|pastebin\.com).*?(?:curl|wget|fetch)", r"91\.92\.242\.\d+"]),
     ("CLAWHAVOC_002", "remote_execution", "CRITICAL", "CWE-78", [r"base64\s+-[Dd].*?\|\s*(?:ba)?sh", r"curl.*?\|\s*base64\s+-[Dd].*?\|\s*(?:ba)?sh"]),
     ("SKILLJECT_001", "skill_injection", "CRITICAL", "CWE-78", [r"(?:chmod\s+\+x|\.\/.*\.(?:sh|py)|subprocess\.(?:call|run|Popen)|os\.system|(?<![a-zA-Z0-9_])exec\()"]),
     ("SKILLJECT_002", "skill_injection", "HIGH", "CWE-94", [r"(?:ignore\s+(?:all|previous|prior)\s+(?:instructions?|rules?|prompts?)|you\s+are\s+(?:now|no\s+longer)|override\s+(?:system|default)\s+(?:prompt|behavior))"]),
@@ -46,7 +46,7 @@ STATIC = [
     ("SUPPLY_002", "supply_chain", "HIGH", "CWE-506", [r"post_install|postinstall|after_install", r"setup\(.*install_requires", r"\"entry_points.*console_scripts\""]),
     ("SUPPLY_003", "supply_chain", "CRITICAL", "CWE-829", [r"(?:requets|python-dateutil2|urrlib3|requestss|jason|djago|flaskk|numpyyy)"]),
     ("TIMEBOMB_001", "time_bomb", "HIGH", "CWE-829", [r"datetime\.(?:now|today)\(\).*>=", r"time\.time\(\).*>\s*\d{10}", r"if\s+date.*==.*['\"](?:20\d{2}|0[1-9]/)", r"scheduled.*execution|delayed.*payload"]),
-    ("TIMEBOMB_002", "time_bomb", "MEDIUM", "CWE-829", [r"time\.sleep\s*\(\s*[1-9]\d{2,}\s*\)", r"sleep\s+[1-9]\d{2,}"]),
+    ("TIMEBOMB_002", "time_bomb", "MEDIUM", "CWE-829", [r"time\.sleep\s*\(\s*[1-9]\d{2,}\s*\)", r"(?<!req\.)setTimeout\(.*\d{5,}(?!.*(?:timeout|Timeout))", r"sleep\s+[1-9]\d{2,}"]),
     ("CRYPTO_001", "crypto_abuse", "CRITICAL", "CWE-311", [r"(?:encrypt|cipher)\s*\(.*file", r"os\.walk.*encrypt", r"\.encrypt\(\).*recursive", r"ransom|bitcoin.*wallet|decrypt.*payment"]),
     ("CRYPTO_002", "crypto_abuse", "HIGH", "CWE-327", [r"AES\.new.*requests\.post", r"encrypt.*send|cipher.*upload", r"base64\..*encrypt|encrypt.*base64"]),
     ("ANTI_001", "anti_analysis", "HIGH", "CWE-693", [r"socket\.gethostname\(\).*in\s*\[", r"len\(os\.environ\)\s*[<=>]+\s*\d+", r"cpu_count\(\)\s*<=\s*[12]", r"virtualbox|vmware|sandbox.*detect"]),

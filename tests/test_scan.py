@@ -122,6 +122,12 @@ def test_watch(spark, tmp_path):
     assert {r.rule_id for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"DANGER_002", "SKILLJECT_001"}
 
 
+def test_static_regexes_are_whole(spark):
+    assert sum(len(r[4]) for r in packs.STATIC) == len(line_rules.STATIC_ALL) == 130
+    f = files(spark, ["exec 3<>/dev/tcp/h/1", "/bin/sh -i", "ping 91.92.242.7", "setTimeout(go, 86400)", "req.setTimeout(86400)", "setTimeout(go, 86400) // a timeout", "setTimeout(go, 99)"])
+    assert {(r.file_id, r.rule_id) for r in line_rules.static_hits(f).collect()} == {(0, "MASB_001"), (1, "TOXIC_001"), (2, "CLAWHAVOC_001"), (3, "TIMEBOMB_002")}
+
+
 def test_packs_are_whole():
     assert len({r[0] for r in packs.STATIC}) == 43 and len(packs.PROBES) == 21 and len(packs.HOOKS) == 15
 
