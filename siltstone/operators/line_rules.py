@@ -150,11 +150,15 @@ def trusted_suppression(found: DataFrame, f: DataFrame) -> DataFrame:
     return found.join(t, "file_id").where(~(F.col("trusted") & F.col("rule_id").startswith("EXFIL"))).drop("trusted")
 
 
+#: Category, severity, pattern and place in scan order; the number here is the pattern_ix.
+DOC_PATTERNS = [(*p, 2 * k + 1) for k, p in enumerate(packs.DOCUMENT)] + [(*p, 2 * k) for k, *p in packs.DOCUMENT_AHEAD]
+
+
 def document_hits(f: DataFrame) -> DataFrame:
-    """Social-engineering patterns per line of documents."""
-    pats = [p[2] for p in packs.DOCUMENT]
+    """Social-engineering patterns per line of documents; ``place`` is the pattern's in scan order."""
+    pats = [p[2] for p in DOC_PATTERNS]
     rows = line_hits(candidates(for_engine(f, "documents"), pats), pats, ["file_id", "pkg_id", "rel_path"])
-    return rows.select("file_id", "pkg_id", "rel_path", "line_no", "line", F.col("ix").alias("pattern_ix"), *[pick([p[k] for p in packs.DOCUMENT], "ix").alias(n) for k, n in ((0, "category"), (1, "severity"))])
+    return rows.select("file_id", "pkg_id", "rel_path", "line_no", "line", F.col("ix").alias("pattern_ix"), *[pick([p[k] for p in DOC_PATTERNS], "ix").alias(n) for k, n in ((0, "category"), (1, "severity"), (3, "place"))])
 
 
 CATEGORIES = list(dict.fromkeys(p[0] for p in packs.DOCUMENT))
@@ -168,9 +172,9 @@ def document_findings(f: DataFrame) -> DataFrame:
     findings in the order of their first hits.
     """
     h = document_hits(f).withColumn("rank", severity_rank(F.col("severity")))
-    best = F.struct(-F.col("rank"), "pattern_ix", "line_no")
+    best = F.struct(-F.col("rank"), "place", "line_no")
     g = h.groupBy("file_id", "pkg_id", "rel_path", "category").agg(
-        F.min(F.struct("pattern_ix", "line_no")).alias("first"), F.min_by(F.struct("severity", "line_no"), best).alias("best")
+        F.min(F.struct("place", "line_no")).alias("first"), F.min_by(F.struct("severity", "line_no"), best).alias("best")
     )
     return g.select(
         "file_id", "pkg_id", "rel_path", "category", F.col("best.severity").alias("severity"), F.col("best.line_no").alias("line_no"),

@@ -108,6 +108,7 @@ DOCUMENT = [
     ("prompt_injection", "HIGH", r"(unrestricted|uncensored|no[-_]?limit|without restriction).{0,20}(mode|access|operation)"),
     ("supply_chain", "HIGH", r"(prerequisite|pre[-_]?requisite|before.{0,10}install|installation.{0,10}step).{0,200}(download|curl|wget|fetch)"),
     ("supply_chain", "HIGH", r"(前置条件|安装前|先执行).{0,100}(下载|curl|wget|获取)"),
+    ("supply_chain", "HIGH", r"(github\.com|gitlab\.com|gitee\.com).{0,100}/releases?/{0,100}\.(exe|bin|sh|bat|zip|tar\.gz)"),
     ("supply_chain", "CRITICAL", r"(pastebin\.com|gist\.github\.com|raw\.githubusercontent\.com).{0,100}\|\s*(bash|sh|python)"),
     ("supply_chain", "MEDIUM", r"(password|passwd|pwd|解压密码|密码).{0,10}[=:]\s*[a-zA-Z0-9]{4,}"),
     ("supply_chain", "CRITICAL", r"TMPDIR.*curl.*chmod.*\./"),
@@ -118,6 +119,12 @@ DOCUMENT = [
     ("credential_theft", "MEDIUM", r"(add|paste|enter).{0,50}(api[_-]?key|secret|token).{0,50}(\.env|config|settings)"),
 ]
 
+# Document patterns with a look-ahead, which SQL lacks: number of the pattern above that each precedes in scan order, category, severity, pattern.
+DOCUMENT_AHEAD = [
+    (11, "suspicious_download", "MEDIUM", r"(curl|wget)\s+http://(?!localhost|127\.0\.0\.1)"),
+    (46, "credential_theft", "MEDIUM", r"(webhook|callback|notify|report|log).{0,50}(https?://(?!api\.)[^\s]+)"),
+]
+
 # Prompt probes over whole texts: id, category, severity, pattern.
 PROBES = [
     ("PI_001", "system_override", "CRITICAL", r"(?:ignore|forget|disregard)\s+(?:all\s+)?(?:previous|prior|above|earlier|initial)\s+(?:instructions?|prompts?|directives?|rules?|commands?)"),

@@ -128,6 +128,17 @@ def test_static_regexes_are_whole(spark):
     assert {(r.file_id, r.rule_id) for r in line_rules.static_hits(f).collect()} == {(0, "MASB_001"), (1, "TOXIC_001"), (2, "CLAWHAVOC_001"), (3, "TIMEBOMB_002")}
 
 
+def test_document_regexes_are_whole(spark):
+    assert len(line_rules.DOC_PATTERNS) == 48
+    t = ["curl http://files.example.org/a", "curl http://localhost/a", "https://github.com/o/r/release.exe\nhttps://gitlab.com/o/r/releases/.sh", "set the callback to https://in.example.net/x", "set the callback to https://api.example.net/x",
+         "notify https://a.example.net\nwget http://b.example.net\nfiles.exe"]
+    f = files(spark, t, "a/b.md")
+    got = {(r.file_id, r.line_no, r.category, r.severity) for r in line_rules.document_hits(f).collect()}
+    assert {(0, 1, "suspicious_download", "MEDIUM"), (2, 2, "supply_chain", "HIGH"), (3, 1, "credential_theft", "MEDIUM")} <= got and not {g[0] for g in got} & {1, 4}
+    found = sorted((r.ordinal, r.category, r.line_no) for r in line_rules.document_findings(f).where("file_id = 5").collect())
+    assert found == [(1, "suspicious_download", 2), (2, "executable_delivery", 3), (3, "credential_theft", 1)]
+
+
 def test_packs_are_whole():
     assert len({r[0] for r in packs.STATIC}) == 43 and len(packs.PROBES) == 21 and len(packs.HOOKS) == 15
 
