@@ -618,9 +618,29 @@ def _sh_dollar(s: str, i: int, quoted: bool) -> int:
     return _SH_VAR.match(s, i).end()
 
 
+def _sh_semicolons(s: str, i: int, n: int) -> int:
+    """Semicolons of s[i:n] outside quotes and expansions."""
+    k = 0
+    while i < n:
+        ch = s[i]
+        if ch == "\\":
+            i += 2
+        elif ch == "'":
+            i = s.find("'", i + 1) + 1 or n
+        elif ch == '"':
+            i = _sh_dq(s, i)
+        elif ch == "`":
+            i = _sh_tick(s, i)
+        elif ch == "$":
+            i = _sh_dollar(s, i, False)
+        else:
+            k, i = k + (ch == ";"), i + 1
+    return k
+
+
 def _bash(r: Recogniser, s: str) -> tuple[int, str] | None:
     c, at, i, n, here, start_of_command = r.codes, r.begin, 0, len(s), [], True
-    tests = 0
+    tests, last = 0, ""
     try:
         while i < n:
             ch = s[i]
@@ -653,9 +673,11 @@ def _bash(r: Recogniser, s: str) -> tuple[int, str] | None:
                         raise _Bad("here-document without a word")
                     here.append((re.sub(r"['\"\\]", "", m2.group(1)), m.group().endswith("-")))
                     i, k = m2.end(), "HEREDOC"
-            elif s.startswith("((", i) and (start_of_command or at in _for_states(r)):
+            elif s.startswith("((", i) and (start_of_command or last == "for"):
                 j = _sh_close(s, i + 1, "(", ")")
-                if s[j - 2 : j] == "))":
+                if last == "for" or s[j - 2 : j] == "))":  # Bash takes text between the two brackets behind for
+                    if last == "for" and _sh_semicolons(s, i + 2, j - 1) != 2:
+                        raise _Bad("for without three expressions")
                     i, k = j, "ARITH"
                 else:
                     i, k = i + 1, "("
@@ -707,6 +729,7 @@ def _bash(r: Recogniser, s: str) -> tuple[int, str] | None:
             at = r.move(at, c[k])
             if not at:
                 raise _Bad(f"unexpected {k}")
+            last = k
             start_of_command = k in (";", "&", "&&", "||", "|", "|&", "NL", "(", "{", "then", "do", "else", "elif", "if", "while", "until", "!", "time", ";;", ")", "ASSIGN")
         if not r.move(at, c["EOF"]):
             raise _Bad("unexpected end")
@@ -715,10 +738,6 @@ def _bash(r: Recogniser, s: str) -> tuple[int, str] | None:
     return None
 
 
-def _for_states(r: Recogniser) -> tuple:
-    return ()
-
-
 # --- Python
 
 _PY_KW = ("pass break continue return raise from global nonlocal del assert import as if elif else while async for in try finally with except def class match case type "

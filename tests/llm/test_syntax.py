@@ -63,6 +63,18 @@ def test_json_of_any_value(value):
         assert first_error("json", text[:-1]) is not None
 
 
+@pytest.mark.parametrize("text", ["for ((i=0; i<n; i++)); do echo $i; done", "for((;;)) do break; done", "for (( i = $(echo '1;2'; echo); i < (2 + 3); i++ ))\n{ x; }", "if a; then for ((i=0; i < ${#x[@]}; i++))\ndo y; done; fi", "for ((i=0; i<n; i++) ); do x; done"])
+def test_bash_arithmetic_for(text):
+    assert first_error("bash", text) is None
+    assert first_error("bash", text.replace("\n", "\r\n")) is None
+    assert first_error("bash", text[:-4]) is not None
+
+
+@pytest.mark.parametrize("text", ["for ((i=0; i<n)); do x; done", "for ((i=0; i<n; i++)) echo", "echo for ((i=0; i<n; i++))", "select ((i=0; i<n; i++)); do x; done", "for ( (i=0; i<n; i++)); do x; done"])
+def test_bash_arithmetic_for_is_invalid(text):
+    assert first_error("bash", text) is not None
+
+
 def test_ambiguous_grammar():
     r = Recogniser(Grammar("s: e EOF ; e: t ('+' t)* ; t: 'a' | '(' e ')' | '(' e ')' 'b' ;", "s"))
     at = r.begin
