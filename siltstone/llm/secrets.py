@@ -122,7 +122,7 @@ PEM_BODY = re.compile(r"(?:\\r|\\n|\s|[\"'+,>|#]|(?:[A-Za-z-]+:[^\n\\]{1,80}))*[
 PIECE = re.compile(r"[ \t]*(?:\+|,|\.|&|\\?\n)?[ \t]*(?:\\?\n[ \t]*)?(?:\+|,)?[ \t]*[rbuf]{0,2}([\"'`])((?:(?!\1)[^\\\n])*)\1")
 CODE_VALUE = re.compile(r"[A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*(?:[(\[{]|$)|[\[({\d+\-!]")
 #: a line without one of these (in lower case) has no place for a credential
-PLACES = ("pass", "pwd", "secret", "token", "key", "auth", "bearer", "jwt", "credential", "akia", "asia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "k_live_", "k_test_", "xox", "aiza", "npm_", "eyj", "glpat", "hf_", "pypi-", "github_pat", "basic ")
+PLACES = ("pass", "pwd", "secret", "token", "key", "auth", "bearer", "jwt", "pat", "dsn", "user", "-u ", "-u\t", "credential", "akia", "asia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "k_live_", "k_test_", "xox", "aiza", "npm_", "eyj", "eyi", "glpat", "sg.", "hf_", "pypi-", "github_pat", "basic ", "basic\t", "digest ", "digest\t")
 SUSPECT = re.compile(r"[A-Za-z0-9_!@#$%^&*+/~.\-]{6,}")
 CAMEL = re.compile(r"(?:[A-Za-z][a-z]{2,}|[A-Z]{2,})(?:[_.\-/]?[A-Z][a-z]{2,}|[_.\-/][a-z]{2,})*\Z")
 OPEN_END = (":", "=", "(", "\\", "[", "|", ">-", ">", ",", "|-")
@@ -205,7 +205,7 @@ def find(text: str | None) -> list[tuple[int, list[tuple[int, int]], str]]:
             continue
         before = text[text.rfind("\n", 0, a - 1) + 1 : a - 1] if a else ""
         taken: list[tuple[list[tuple[int, int]], str]] = []
-        for spans, kind in _line(text, max(a, skip_to), e, before if len(before) < 400 else ""):
+        for spans, kind in _line(text, max(a, skip_to), e, before):
             if all(y <= u or x >= v for x, y in spans for s, _ in taken for u, v in s):
                 taken.append((spans, kind))
         if taken:
@@ -270,15 +270,15 @@ def _line(text: str, a: int, e: int, before: str) -> Iterator[tuple[list[tuple[i
         yield from _assigned(text, a, e, line, m, name)
     last = before.rstrip()
     if last.endswith(OPEN_END):
-        m = re.search(r"([A-Za-z_][\w.\-]*)[\"'`\]]*\s*(?::|=|,)\s*(?:[(\[|>\\]-?)?\s*$", last)
-        if m and NAME.search(m.group(1)):
+        name = _name_at_end(last)
+        if name and NAME.search(name):
             q = re.match(r"[ \t]*[rbuf]{0,2}([\"'`]?)([^\s\"'`,;]{6,})", line)
             if q:
                 spans = [(a + q.start(2), a + q.end(2))]
                 v = q.group(2)
                 if q.group(1):
                     v, spans = _pieces(text, a + q.start(2), q.group(1), e)
-                if _judge(v, m.group(1), bool(q.group(1))):
+                if _judge(v, name, bool(q.group(1))):
                     yield spans, "assignment"
     for m in FORMAT.finditer(line):
         i = m.start()
@@ -335,6 +335,21 @@ def _decode(v: str) -> str | None:
     return d if d.isprintable() else None
 
 
+def _name_at_end(s: str) -> str:
+    """The name that the end of a line binds to the next; read backwards, so that a long line costs no more than its end."""
+    t = s[:-1] if s.endswith("-") and s[-2:-1] in tuple("([|>\\") else s
+    t = (t[:-1] if t.endswith(tuple("([|>\\")) else s).rstrip()
+    if not t.endswith((":", "=", ",")):
+        return ""
+    t = t[:-1].rstrip().rstrip("\"'`]")
+    i = len(t)
+    while i and (t[i - 1] in "_.-" or t[i - 1].isalnum()):
+        i -= 1
+    while i < len(t) and not (t[i] == "_" or t[i].isascii() and t[i].isalpha()):
+        i += 1
+    return t[i:]
+
+
 def _pieces(text: str, i: int, q: str, e: int) -> tuple[str, list[tuple[int, int]]]:
     """The literal at i (behind its quote) and those joined to it."""
     j = i
@@ -344,7 +359,7 @@ def _pieces(text: str, i: int, q: str, e: int) -> tuple[str, list[tuple[int, int
     at = j + 1
     while True:
         m = PIECE.match(text, at)
-        if not m or len(spans) > 40:
+        if not m:
             break
         glue = text[at : m.start(1)]
         if not glue.strip(" \trbuf") and "\n" not in glue and not (q in "\"'" and glue.strip(" \t") == ""):

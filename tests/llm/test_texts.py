@@ -200,3 +200,13 @@ def test_machine_made(spark):
     got = {r.file_id: r.kind for r in handwritten.machine_made(t).collect()}
     assert got == {1: "third-party", 2: "third-party", 5: "minified", 6: "generated", 7: got.get(7), 8: "generated"} and got[7] in ("data", "generated")
     assert handwritten.machine_made(t.limit(0)).count() == 0
+
+
+def test_gate_covers_patterns():
+    v = "x7Kq9vR2mZ4wB8nT3cY6"
+    sg = "SG." + "aB3dE5fG7hJ9kL1m" + "." + "Q2wE4rT6yU8iO0pA1sD3"
+    for line in (f"curl -u deploy:{v} https://x.example.com/a", f"curl --user deploy:{v} https://x.example.com/a", f"mail = '{sg}'", f"pat = '{v}'", f"dsn = '{v}'"):
+        assert find(line), line
+    many = " + ".join(f"'{c}'" for c in ["x7Kq9vR2", *"mZ4wB8nT3cY6dF1gH5jL0pQsW2eR4tU6iO8aS0zXk"])
+    assert len(find(f"api_key = {many}")[0][1]) == 42
+    assert find("x = f(" + "1, " * 200 + f"api_key =\n    '{v}')")
