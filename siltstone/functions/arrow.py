@@ -14,6 +14,21 @@ from pyspark.sql.types import StructType
 
 _shipped: set[str] = set()
 
+#: bytes of Arrow data that are turned into Python objects at once
+MOST_BYTES = 8 << 20
+
+
+def pieces(batch, most: int = MOST_BYTES) -> Iterator:
+    """A record batch in slices of about ``most`` bytes, one row at least."""
+    n, size = batch.num_rows, batch.nbytes
+    if size <= most or n < 2:
+        if n:
+            yield batch
+        return
+    half = n // 2
+    yield from pieces(batch.slice(0, half), most)
+    yield from pieces(batch.slice(half), most)
+
 
 def ship(spark: SparkSession) -> None:
     """Make this package importable in the Python workers of the session (once per application)."""
@@ -48,7 +63,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[..., Iterable[tuple]]],
 
         out = to_arrow_schema(schema)
         fn = make()
-        for b in batches:
+        for b in (x for whole in batches for x in pieces(whole)):
             rows = [t for r in zip(*(c.to_pylist() for c in b.columns)) for t in fn(*r)]
             if rows:
                 cols = zip(*rows)
@@ -59,7 +74,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[..., Iterable[tuple]]],
 
 
 def map_batches(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], Iterable[tuple]]], schema: StructType | str) -> DataFrame:
-    """As ``map_rows``, but the function gets a whole batch as a dict of lists."""
+    """As ``map_rows``, but the function gets the rows of a batch (``MOST_BYTES`` at most) as a dict of lists."""
     if isinstance(schema, str):
         schema = StructType.fromDDL(schema)
 
@@ -69,7 +84,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], It
 
         out = to_arrow_schema(schema)
         fn = make()
-        for b in batches:
+        for b in (x for whole in batches for x in pieces(whole)):
             rows = list(fn(dict(zip(b.schema.names, (c.to_pylist() for c in b.columns)))))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), out)], schema=out)
