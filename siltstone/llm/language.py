@@ -2,88 +2,88 @@
 
 from __future__ import annotations
 
-from functools import lru_cache, partial
+from functools import partial
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siltstone.functions.arrow import map_rows
+from siltstone.functions.arrow import map_batches, ship
 
-#: bounds of the labelled sample: documents a language, characters a document, characters kept a language
+#: bounds of the labelled sample that the automata are fitted on: documents a language, characters a document, characters kept a language
 SAMPLE_DOCS = 60
 SAMPLE_LENGTH = (200, 20_000)
 TRAIN_CHARS = 12_000
-MOST_LANGUAGES = 1000
 
 
-def label_of(lang: Column, lang_code: DataFrame) -> Column:
-    """The code that a label names, in any notation: case, blanks, region or script, three letters, English name; else null."""
-    rows = lang_code.select("lang_code", "lang_name", "iso3").limit(MOST_LANGUAGES).collect()
-    names = {k.strip().lower(): r.lang_code for r in rows for k in (r.lang_code, r.iso3, r.lang_name) if k}
-    if not names:
-        return F.lit(None).cast("string")
-    table = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
-    t = F.lower(F.trim(F.regexp_replace(lang, r"[\s ]+", " ")))
-    return F.coalesce(F.try_element_at(table, t), F.try_element_at(table, F.element_at(F.split(t, r"[-_.@ (]"), 1)))
+def labelled(documents: DataFrame, lang_code: DataFrame) -> DataFrame:
+    """``documents`` with ``label``: the code that ``lang`` names, in any notation (case, blanks, region or script, three letters, English name), else null.
 
-
-def training_sample(documents: DataFrame, lang_code: DataFrame) -> list[tuple[str, str]]:
-    """At most ``SAMPLE_DOCS`` labelled texts a language, those of the smallest hash, in hash order."""
-    size = F.length("text")
-    d = (
-        documents.select("doc_id", label_of(F.col("lang"), lang_code).alias("label"), "text")
-        .where(F.col("label").isNotNull() & size.between(*SAMPLE_LENGTH))
-        .withColumn("h", F.xxhash64("text"))
+    The names are joined, so that their number has no bound; a code table of usual size is broadcast by its statistics.
+    """
+    name = lambda c: F.lower(F.trim(F.regexp_replace(c, r"[\s\u00a0]+", " ")))
+    names = (
+        lang_code.select("lang_code", F.explode(F.array("lang_code", "iso3", "lang_name")).alias("name"))
+        .select("lang_code", name(F.col("name")).alias("name"))
+        .where("name <> '' AND lang_code IS NOT NULL")
+        .groupBy("name")
+        .agg(F.min("lang_code").alias("code"))
     )
-    best = d.select("doc_id", "label", "h").withColumn("rn", F.row_number().over(W.partitionBy("label").orderBy("h", "doc_id"))).where(F.col("rn") <= SAMPLE_DOCS)
-    # bounded by SAMPLE_DOCS rows a language
-    rows = d.select("doc_id", "text").join(F.broadcast(best.select("doc_id", "label", "h")), "doc_id").collect()
-    return [(r.label, r.text) for r in sorted(rows, key=lambda r: (r.h, r.doc_id))]
-
-
-@lru_cache(maxsize=2)
-def _model(texts: tuple[tuple[str, str], ...]):
-    from siltstone.llm.crossparse import Languages
+    whole = names.select(F.col("name").alias("_whole"), F.col("code").alias("_code"))
+    first = names.select(F.col("name").alias("_first"), F.col("code").alias("_code1"))
+    d = documents.withColumn("_t", name(F.col("lang")))
+    d = d.join(whole, d["_t"] == whole["_whole"], "left").join(first, F.element_at(F.split(d["_t"], r"[-_.@ (]"), 1) == first["_first"], "left")
+    return d.withColumn("label", F.coalesce("_code", "_code1")).drop("_t", "_whole", "_code", "_first", "_code1")
 
-    return Languages(dict(texts))
 
+def training_sample(documents: DataFrame, lang_code: DataFrame) -> list[tuple[str, str]]:
+    """At most ``SAMPLE_DOCS`` labelled texts a language, those of the smallest hash of doc_id, in hash order.
 
-def _documents(texts):
-    from siltstone.llm.crossparse import present
-
-    model = _model(texts)
-
-    def one(doc_id, label, text):
-        p = present(model, text)
-        same = set(p) == {label}
-        for lang, conf in sorted(p.items()):
-            yield doc_id, lang, conf, label, same
+    They are chosen over all rows without their texts; then only theirs are fetched.
+    """
+    size = F.coalesce("n_chars", F.length("text")) if "n_chars" in documents.columns and documents.schema["n_chars"].dataType.typeName() == "long" else F.length("text")
+    d = labelled(documents.select("doc_id", "lang", size.alias("size")), lang_code).where("label IS NOT NULL").where(F.col("size").between(*SAMPLE_LENGTH))
+    d = d.select("doc_id", "label", F.xxhash64("doc_id").alias("h"))
+    best = d.withColumn("rn", F.row_number().over(W.partitionBy("label").orderBy("h", "doc_id"))).where(F.col("rn") <= SAMPLE_DOCS)
+    chosen = {r.doc_id: (r.h, r.doc_id, r.label) for r in best.collect()}  # bounded by SAMPLE_DOCS rows a language
+    if not chosen:
+        return []
+    # texts of a wrong length can only come from a stale n_chars
+    rows = documents.where(F.col("doc_id").isin(list(chosen))).where(F.length("text").between(*SAMPLE_LENGTH)).select("doc_id", "text").collect()
+    return [(chosen[r.doc_id][2], r.text) for r in sorted(rows, key=lambda r: chosen[r.doc_id][:2])]
 
-    return one
 
+def fit(documents: DataFrame, lang_code: DataFrame):
+    """The suffix automata of all languages, fitted on the labelled sample, as a broadcast of some megabytes."""
+    from siltstone.llm.crossparse import Languages, train
 
-def _segments(texts):
-    from siltstone.llm.crossparse import segments
+    spark = documents.sparkSession
+    ship(spark)
+    return spark.sparkContext.broadcast(Languages(train(training_sample(documents, lang_code), TRAIN_CHARS)))
 
-    model = _model(texts)
 
-    def one(doc_id, label, text):
-        for k, (start, lang, n, items, conf) in enumerate(segments(model, text), 1):
-            yield doc_id, k, start, lang, n, items, conf
+def _documents(model):
+    from siltstone.llm.crossparse import hear, present
 
-    return one
+    def batch(cols):
+        for doc_id, label, heard in zip(cols["doc_id"], cols["label"], hear(model.value, cols["text"])):
+            p = present(heard)
+            same = set(p) == {label}
+            for lang, conf in sorted(p.items()):
+                yield doc_id, lang, conf, label, same
 
+    return batch
 
-def fit(documents: DataFrame, lang_code: DataFrame) -> tuple[tuple[str, str], ...]:
-    """The text of each language's suffix automaton, from the labelled sample."""
-    from siltstone.llm.crossparse import train
 
-    return tuple(sorted(train(training_sample(documents, lang_code), TRAIN_CHARS).items()))
+def _segments(model):
+    from siltstone.llm.crossparse import hear, segments
 
+    def batch(cols):
+        for doc_id, heard in zip(cols["doc_id"], hear(model.value, cols["text"])):
+            for k, (start, lang, n, items, conf) in enumerate(segments(heard), 1):
+                yield doc_id, k, start, lang, n, items, conf
 
-def _source(documents: DataFrame, lang_code: DataFrame) -> DataFrame:
-    return documents.select("doc_id", label_of(F.col("lang"), lang_code).alias("label"), "text").where("text IS NOT NULL")
+    return batch
 
 
 def languages(documents: DataFrame, lang_code: DataFrame) -> DataFrame:
@@ -92,16 +92,17 @@ def languages(documents: DataFrame, lang_code: DataFrame) -> DataFrame:
     A language counts with two whole sentences in a row outside code fences and
     front matter, or with two list items. ``label`` is what ``lang`` names, if
     anything; ``as_labelled`` tells whether the document's languages are just
-    that one. Null, empty and wordless texts give no row; repeated documents
-    count on their own. Each text is judged whole in the task that read it.
+    that one. Null, empty and wordless texts give no row, nor do texts in a
+    script that no labelled language has; repeated documents count on their
+    own. Each text is judged whole in the task that read it.
     """
-    texts = fit(documents, lang_code)
-    return map_rows(_source(documents, lang_code), partial(_documents, texts), "doc_id long, lang_code string, confidence double, label string, as_labelled boolean")
+    d = labelled(documents.select("doc_id", "lang", "text").where("text IS NOT NULL"), lang_code).select("doc_id", "label", "text")
+    return map_batches(d, partial(_documents, fit(documents, lang_code)), "doc_id long, lang_code string, confidence double, label string, as_labelled boolean")
 
 
 def language_segments(documents: DataFrame, lang_code: DataFrame) -> DataFrame:
     """``doc_id, segment_no, start, lang_code, n_sentences, n_items, confidence``: runs of sentences in one language."""
-    texts = fit(documents, lang_code)
-    return map_rows(
-        _source(documents, lang_code), partial(_segments, texts), "doc_id long, segment_no int, start int, lang_code string, n_sentences int, n_items int, confidence double"
+    d = documents.select("doc_id", "text").where("text IS NOT NULL")
+    return map_batches(
+        d, partial(_segments, fit(documents, lang_code)), "doc_id long, segment_no int, start int, lang_code string, n_sentences int, n_items int, confidence double"
     )

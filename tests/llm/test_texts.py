@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltstone.llm import containers, credentials, handwritten, language, leakage
-from siltstone.llm.crossparse import SuffixAutomaton, sentences
+from siltstone.llm.crossparse import Languages, clean, hear, present, sentences, train
 from siltstone.llm.secrets import find, redact, residual
 from siltstone.llm.wumanber import Leaks, WuManber
 
@@ -140,23 +140,71 @@ def test_fill(spark):
 # --- languages
 
 
-def test_phrases_equal_greedy_substrings():
+def phrases(text, s):
+    """Greedy longest substrings; a character that the text lacks is a phrase of its own, and one more phrase begins behind it."""
+    n, i = 1, 0
+    while i < len(s):
+        if s[i] not in text:
+            n, i = n + 1, i + 1
+            continue
+        j = i + 1
+        while j < len(s) and s[i : j + 1] in text:
+            j += 1
+        if j < len(s):
+            n += s[j] in text
+        i = j
+    return n
+
+
+def test_entropies_equal_greedy_substrings():
     rnd = random.Random(4)
-    for _ in range(30):
-        text = "".join(rnd.choice("abc") for _ in range(80))
-        s = "".join(rnd.choice("abcd") for _ in range(30))
-        n, i = 0, 0
-        while i < len(s):
-            j = i + 1
-            while j <= len(s) and s[i:j] in text:
-                j += 1
-            n, i = n + 1, max(i + 1, j - 1)
-        assert abs(SuffixAutomaton(text).phrases(s, 1e9) - n) <= s.count("d")
+    for _ in range(20):
+        texts = {x: "".join(rnd.choice("abc") for _ in range(80)) for x in ("aa", "bb", "cc")}
+        m = Languages(texts)
+        some = ["".join(rnd.choice("abcd") for _ in range(rnd.choice((1, 5, 15, 16, 17, 30, 70)))) for _ in range(30)]
+        bits, lacking = m.entropies(some)
+        assert ((bits < float("inf")).sum(axis=1) >= 2).all()
+        for s, row, miss in zip(some, bits, lacking):
+            for k, x in enumerate(m.names):
+                if row[k] < float("inf"):
+                    assert round(row[k] / m.bits[k]) == phrases(texts[x], s) and miss[k] == s.count("d")
+    assert Languages({}).classify(["x"]) == [(None, 0.0)] and m.classify([]) == []
+
+
+RU = "Проверка показала, что этот навык читает файлы без разрешения. Мы просим авторов исправить ошибку как можно скорее. Отчёт содержит все подробности о найденных проблемах. "
+EN = "The review showed that this skill reads files without permission. We ask its authors to mend the fault as soon as they can. The report holds all the details of what was found. "
+DE = "Die Prüfung zeigte, dass diese Fähigkeit Dateien ohne Erlaubnis liest. Wir bitten die Autoren, den Fehler so bald wie möglich zu beheben. Der Bericht enthält alle Einzelheiten dazu. "
+
+
+def test_scripts_without_a_language_give_no_row():
+    m = Languages({"ru": clean(RU), "en": clean(EN), "de": clean(DE)})
+    for t in (
+        "هذه جملة طويلة باللغة العربية. وهذه جملة ثانية بعدها مباشرة.",
+        "이것은 한국어로 쓴 긴 문장입니다. 그리고 이것은 두 번째 문장입니다.",
+        "Αυτή είναι μια μεγάλη ελληνική πρόταση. Και αυτή είναι η δεύτερη πρόταση.",
+    ):
+        assert present(hear(m, [t])[0]) == {}
+    # every language is compared, whatever the script
+    got = hear(m, ["Этот отчёт содержит ошибку. Авторы просят исправить файлы."])[0]
+    assert [x[2] for x in got] == ["ru", "ru"] and all(0 < x[3] < 0.99 for x in got)
+    assert ((m.entropies([clean(RU)])[0] < float("inf")).sum(axis=1) >= 2).all()
+
+
+def test_training_survives_wrong_labels():
+    # a long text with a wrong label comes first in each language
+    texts = {"ru": RU, "en": EN, "de": DE}
+    cut = {k: [x.strip() + "." for x in v.split(".") if x.strip()] for k, v in texts.items()}
+    wrong = {"ru": "en", "en": "de", "de": "ru"}
+    rows = [(k, " ".join(f"{x[:-1]} {i}." for i in range(40) for x in cut[wrong[k]])) for k in texts]
+    rows += [(k, " ".join(cut[k][(i + j) % 3] for j in range(2))) for i in range(12) for k in texts]
+    got = train(rows, 2000)
+    m = Languages(got)
+    assert {k: m.classify([clean(v)])[0][0] for k, v in texts.items()} == {k: k for k in texts}
 
 
 def test_sentences():
     t = "---\nname: A b. C d.\n---\n# Head line.\n\nFirst sentence here. Second one\nhere.\n\n```\nNot this one. Nor this.\n```\n* an item of words\n| a | b. |\n> Quoted words here. 你好世界。再见世界！\n"
-    assert [s for _, _, _, s in sentences(t)] == ["first sentence here.", "second one here.", "an item of words", "quoted words here.", "你好世界。", "再见世界！"]
+    assert [s for _, _, s in sentences(t)] == ["first sentence here.", "second one here.", "an item of words", "quoted words here.", "你好世界。", "再见世界！"]
     assert list(sentences("")) == []
 
 
@@ -168,8 +216,11 @@ def test_languages(spark):
     assert labelled.where("as_labelled").count() > 0.8 * labelled.count()
     assert r.where("NOT confidence BETWEEN 0 AND 1").count() == 0
     assert r.groupBy("doc_id", "lang_code").count().where("count > 1").count() == 0
-    x = spark.createDataFrame([(" EN ",), ("zh_Hans",), ("deu",), ("German",), ("de-AT",), ("n/a",), ("",), (None,)], "l string")
-    assert [v[0] for v in x.select(language.label_of(F.col("l"), lc)).collect()] == ["en", "zh", "de", "de", "de", None, None, None]
+    x = spark.createDataFrame(list(enumerate([" EN ", "zh_Hans", "deu", "German", "de-AT", "n/a", "", None])), "i int, lang string")
+    assert [r.label for r in language.labelled(x, lc).orderBy("i").collect()] == ["en", "zh", "de", "de", "de", None, None, None]
+    many = lc.unionByName(spark.range(3000).selectExpr("'q' || id AS lang_code", "'Name ' || id AS lang_name", "'r' || id AS iso3"))
+    x = spark.createDataFrame([("R2999-X",), ("name 2500",)], "lang string")
+    assert {r.label for r in language.labelled(x, many).collect()} == {"q2999", "q2500"}
     assert language.languages(d.limit(0), lc).count() == 0
 
 
