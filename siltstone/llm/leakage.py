@@ -7,22 +7,29 @@ from functools import partial
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.functions.arrow import map_rows
+from siltstone.functions.arrow import map_batches
 
 BLOCK_ITEMS = 2000
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 1_000_000
+MOST_TABLES = 4  # compiled blocks that a worker keeps
 
 
-def _search(block: list[tuple]):
-    from siltstone.llm.wumanber import Leaks
+def _search(blocks: list):
+    from functools import lru_cache
 
-    tables = Leaks(block)
+    from siltstone.llm.wumanber import Leaks, symbols_of
 
-    def one(doc_id, text):
-        for item_id, (n, edits) in tables.find(text).items():
-            yield doc_id, item_id, n, edits
+    tables = lru_cache(maxsize=MOST_TABLES)(lambda k: Leaks(blocks[k].value))
 
-    return one
+    def batch(cols):
+        read = [symbols_of(t) for t in cols["text"]]  # once, however many blocks there are
+        for k in range(len(blocks)):
+            t = tables(k)
+            for doc_id, x in zip(cols["doc_id"], read):
+                for item_id, (n, edits) in t.find_in(*x).items():
+                    yield doc_id, item_id, n, edits
+
+    return batch
 
 
 def _blocks(bench_item: DataFrame):
@@ -41,20 +48,18 @@ def _blocks(bench_item: DataFrame):
 def leaks(documents: DataFrame, bench_item: DataFrame) -> DataFrame:
     """``doc_id, item_id, length, edits``: documents that hold a passage of a test item.
 
-    The items are a stated query set; each block of them (at most
-    ``BLOCK_ITEMS`` items or ``BLOCK_CHARS`` characters) is compiled into
-    Wu-Manber tables that every task applies to its own rows: one scan a block,
-    no shuffle. ``length`` counts the item's words (English) or characters
-    (Chinese) in the longest such passage. Null and empty texts hold nothing;
-    repeated documents count on their own; without items there are no rows.
+    The items are a stated query set, broadcast in blocks (at most
+    ``BLOCK_ITEMS`` items or about ``BLOCK_CHARS`` characters each). Every task
+    reads its own documents once, a piece at a time, and puts each piece to one
+    block after the other, compiled into Wu-Manber tables: one scan for any
+    number of items, no shuffle. ``length`` counts the item's words (English) or
+    characters (Chinese) in the longest such passage. Null and empty texts hold
+    nothing; repeated documents count on their own; without items there are no rows.
     """
+    sc = documents.sparkSession.sparkContext
+    blocks = [sc.broadcast(b) for b in _blocks(bench_item)]
     src = documents.select("doc_id", "text").where("text IS NOT NULL")
-    schema = "doc_id long, item_id long, length int, edits int"
-    out = None
-    for block in _blocks(bench_item):
-        part = map_rows(src, partial(_search, block), schema)
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else documents.sparkSession.createDataFrame([], schema)
+    return map_batches(src if blocks else src.where("false"), partial(_search, blocks), "doc_id long, item_id long, length int, edits int")
 
 
 def leaked_items(found: DataFrame) -> DataFrame:

@@ -16,7 +16,12 @@ WORD_RUN = 24  # words of an English passage
 EDITS_PER = 12  # one word in so many may be changed, dropped or added
 CHAR_RUN = 45  # characters of a Chinese passage
 
-TAG = re.compile(r"<(?P<block>/?(?:p|br|div|li|ul|ol|td|th|tr|table|h\d|blockquote|pre|hr)\b)?[^<>\n]{0,200}>|\]\([^()\s]{0,300}\)|&(?:amp|lt|gt|quot|nbsp|#\d+);|[\u200b-\u200f\u2060\ufeff\u00ad]")
+#: tags of any length, also over several lines; a lone ``<`` is punctuation
+TAG = re.compile(
+    r"""</?(?P<name>[A-Za-z][\w:\-]*+)(?:\s++[\w:@.\-]++(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'<>=]++))?)*+\s*/?>|<!--(?:(?!<!--)[\s\S])*?-->|<[A-Za-z][A-Za-z0-9+.\-]*+:[^\s<>]*+>"""
+    r"""|\]\((?:[^()\s]|\([^()\s]*+\))*+(?:\s++"[^"\n]*+")?\s*+\)|&(?:amp|lt|gt|quot|nbsp|#\d+);|[\u200b-\u200f\u2060\ufeff\u00ad]"""
+)
+BLOCK = frozenset("p br div li ul ol td th tr table h1 h2 h3 h4 h5 h6 blockquote pre hr".split())
 ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})|\\[nrt]")
 SOFT = re.compile(r"(?<=\w)(?:['’‘`´*_~]+)(?=\w)")
 WORD = re.compile(r"[^\W_]+")
@@ -24,12 +29,17 @@ ASCII_WORD = re.compile(r"[a-z0-9]+")
 CJK = re.compile(r"[㐀-䶿一-鿿豈-﫿]")
 
 
+def _gap(m: re.Match) -> str:
+    name = m.group("name")
+    return " " if name and name.lower() in BLOCK or m.group()[0] in "&]" else ""
+
+
 def _bare(text: str) -> str:
     """Lower case without markup: inline tags and invisible characters vanish, block tags and escapes of white space separate."""
     if "\\" in text:
         text = ESCAPE.sub(lambda m: chr(int(m.group(1), 16)) if m.group(1) else " ", text)
     if "<" in text or "](" in text or "&" in text or not text.isascii():
-        text = TAG.sub(lambda m: " " if m.group("block") or m.group()[0] in "&]" else "", text)
+        text = TAG.sub(_gap, text)
     return text.lower()
 
 
@@ -88,13 +98,17 @@ class WuManber:
             i += 1
 
 
-def _reach(a: Sequence[str], b: Sequence[str], i: int, j: int, step: int, most: int, low: int) -> list[int]:
+def _unchanged(a: Sequence[str], b: Sequence[str], i: int, j: int, step: int) -> int:
+    n, m, x = len(a), len(b), 0
+    while 0 <= i < n and 0 <= j < m and a[i] == b[j]:
+        i, j, x = i + step, j + step, x + 1
+    return x
+
+
+def _reach(a: Sequence[str], b: Sequence[str], i: int, j: int, step: int, most: int) -> list[int]:
     """For 0, 1, ... ``most`` edits: how many symbols of ``a`` beyond i can be aligned with ``b`` beyond j.
 
-    ``step`` 1 goes right (i, j are the next symbols), -1 left. Furthest-reaching
-    diagonals. It stops once reach less ``EDITS_PER`` an edit falls below
-    ``low``: what follows could only belong to a passage that counts without
-    this part, and has occurrences of its own.
+    ``step`` 1 goes right (i, j are the next symbols), -1 left. Furthest-reaching diagonals.
     """
     n, m = len(a), len(b)
 
@@ -106,7 +120,7 @@ def _reach(a: Sequence[str], b: Sequence[str], i: int, j: int, step: int, most:
 
     front = {0: slide(0, 0)}
     out = [front[0]]
-    for k in range(1, most + 1):
+    for _ in range(most):
         nxt: dict[int, int] = {}
         for d, x in front.items():  # d: symbols of b less those of a
             for dx, dd in ((1, 0), (1, -1), (0, 1)):  # changed, dropped, added
@@ -120,23 +134,33 @@ def _reach(a: Sequence[str], b: Sequence[str], i: int, j: int, step: int, most:
         if not front:
             break
         out.append(max(max(front.values()), out[-1]))
-        if out[-1] - EDITS_PER * k < low:
-            break
     return out
 
 
-def passage(item: Sequence[str], doc: Sequence[str], p: int, q: int, length: int, run: int = WORD_RUN, per: int = EDITS_PER) -> tuple[int, int]:
-    """Longest passage around an occurrence that counts: (words of the item, edits); (0, 0) if none does."""
-    most, low = len(item) // per, -2 * run
-    right = _reach(item, doc, p + length, q + length, 1, most, low)
-    left = _reach(item, doc, p - 1, q - 1, -1, most, low)
+def passage(item: Sequence[str], doc: Sequence[str], p: int, q: int, length: int, run: int = WORD_RUN, per: int = EDITS_PER) -> tuple[int, int, int]:
+    """Longest passage around an occurrence that counts: (words of the item, edits), (0, 0) if none does; and the words that follow the occurrence unchanged.
+
+    A passage that counts holds one of less than two runs' length that does: cut
+    it into such parts, one has no more than its share of edits. Of that part
+    some words in a row, ``least``, are unchanged, with an occurrence in them.
+    So an occurrence is followed as far as the edits last only if such a part
+    lies around it.
+    """
+    least = -((run // per - run) // (run // per + 1))
+    right, left = _unchanged(item, doc, p + length, q + length, 1), _unchanged(item, doc, p - 1, q - 1, -1)
     best = (0, 0)
-    for x, r in enumerate(right):
-        for y, le in enumerate(left):
-            n = length + r + le
-            if n >= run and per * (x + y) <= n and n > best[0]:
-                best = (n, x + y)
-    return best
+    if right + length + left >= least:
+        for most in (2 * run // per - 1, len(item) // per):
+            rights = _reach(item, doc, p + length, q + length, 1, most)
+            lefts = _reach(item, doc, p - 1, q - 1, -1, most)
+            for x, r in enumerate(rights):
+                for y, le in enumerate(lefts):
+                    n = length + r + le
+                    if n >= run and per * (x + y) <= n and n > best[0]:
+                        best = (n, x + y)
+            if not best[0]:
+                break
+    return (*best, right)
 
 
 class Leaks:
@@ -168,31 +192,42 @@ class Leaks:
 
     def find(self, text: str | None) -> dict[int, tuple[int, int]]:
         """item_id -> (length of the longest passage, edits)."""
+        return self.find_in(*symbols_of(text))
+
+    def find_in(self, words: list[str], chars: str) -> dict[int, tuple[int, int]]:
         out: dict[int, tuple[int, int]] = {}
-        if not text:
-            return out
         if self.by_words:
-            doc = words_of(text)
-            done: set = set()
-            for k, at in self.by_words.search(doc):
+            # up to where a diagonal's words have been followed unchanged: another occurrence in them has the same passages
+            followed: dict[tuple[int, int], int] = {}
+            for k, at in self.by_words.search(words):
                 n, i = self.where[k]
-                item_id, item = self.words[n]
-                if (n, at - i) in done and item_id in out:
+                if followed.get((n, at - i), 0) >= at + self.WORDS:
                     continue
-                done.add((n, at - i))
-                got = passage(item, doc, i, at, self.WORDS)
-                if got > out.get(item_id, (0, 0)):
-                    out[item_id] = got
-        if self.by_chars and CJK.search(text):
-            doc = chars_of(text)
-            for k, at in self.by_chars.search(doc):
+                item_id, item = self.words[n]
+                *got, unchanged = passage(item, words, i, at, self.WORDS)
+                followed[n, at - i] = at + self.WORDS + unchanged
+                if tuple(got) > out.get(item_id, (0, 0)):
+                    out[item_id] = tuple(got)
+        if self.by_chars:
+            done: dict[tuple[int, int], int] = {}
+            for k, at in self.by_chars.search(chars):
                 n, i = self.cwhere[k]
+                if done.get((n, at - i), 0) >= at + self.CHARS:
+                    continue
                 item_id, item = self.chars[n]
                 a, b = i, i + self.CHARS
-                while a > 0 and at - (i - a) > 0 and item[a - 1] == doc[at - (i - a) - 1]:
+                while a > 0 and at - (i - a) > 0 and item[a - 1] == chars[at - (i - a) - 1]:
                     a -= 1
-                while b < len(item) and at + b - i < len(doc) and item[b] == doc[at + b - i]:
+                while b < len(item) and at + b - i < len(chars) and item[b] == chars[at + b - i]:
                     b += 1
+                done[n, at - i] = at + b - i
                 if b - a >= CHAR_RUN and (b - a, 0) > out.get(item_id, (0, 0)):
                     out[item_id] = (b - a, 0)
         return out
+
+
+def symbols_of(text: str | None) -> tuple[list[str], str]:
+    """A document's words, and its characters if it has any Chinese ones."""
+    if not text:
+        return [], ""
+    return words_of(text), chars_of(text) if not text.isascii() and CJK.search(text) else ""

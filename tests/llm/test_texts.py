@@ -96,6 +96,36 @@ def test_chinese_and_table(spark):
     assert leakage.leaks(d, b.limit(0)).count() == 0 and leakage.leaks(d.limit(0), b).count() == 0
 
 
+@pytest.mark.parametrize("size", [50, 199, 200, 201, 300, 301, 5000])
+def test_markup_of_any_length_does_not_count(size):
+    w = [f"word{i}" for i in range(40)]
+    item = Leaks([(1, "en", " ".join(w[:24]))])
+    for tag in ('<span style="{}">', '<span\n class=a\n style="{}">', "<!-- {} -->", "<https://{}>", "<b title='{}' hidden>"):
+        assert item.find(" ".join(w[:12]) + " " + tag.format("x" * size) + " ".join(w[12:24])) == {1: (24, 0)}
+    assert item.find(" ".join(w[:11]) + " [word11](/" + "x" * size + "(a)) " + " ".join(w[12:24])) == {1: (24, 0)}
+    # a lone < doesn't hide what follows it
+    assert item.find("a < b: " + " ".join(w[:12]) + " < " + " ".join(w[12:24]) + " > c") == {1: (24, 0)}
+
+
+def test_longest_of_several_passages_on_a_diagonal():
+    w = [f"word{i}" for i in range(200)]
+    doc = w[:26] + ["x"] * 26 + w[52:95] + ["y"] * 50 + w[145:175]
+    assert Leaks([(1, "en", " ".join(w))]).find(" ".join(doc)) == {1: (46, 3)}
+    # many edits in the middle, paid for by both ends
+    doc = w[:90] + [f"z{i}" if i % 2 else x for i, x in enumerate(w[90:104])] + w[104:]
+    assert Leaks([(1, "en", " ".join(w))]).find(" ".join(doc)) == {1: (200, 7)}
+
+
+def test_items_of_any_number_take_one_scan(spark, monkeypatch):
+    monkeypatch.setattr(leakage, "BLOCK_ITEMS", 3)
+    items = [(i, "en", " ".join(f"w{i}x{j}" for j in range(30))) for i in range(10)]
+    b = spark.createDataFrame(items, "item_id long, lang string, text string")
+    d = spark.createDataFrame([(k, f"intro {items[k][2]} and {items[(k + 5) % 10][2]}") for k in range(10)], "doc_id long, text string")
+    r = leakage.leaks(d, b)
+    assert sorted((x.doc_id, x.item_id, x.length) for x in r.collect()) == sorted((k, i, 30) for k in range(10) for i in (k, (k + 5) % 10))
+    assert r._jdf.queryExecution().toString().count("MapInArrow [") <= 4 and "Union" not in r._jdf.queryExecution().toString()
+
+
 # --- containers
 
 
