@@ -47,6 +47,25 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def ship_file(spark: SparkSession, path: str) -> None:
+    """Send a file of the driver's machine to all executors; ``shipped(path)`` finds it there."""
+    key = f"{spark.sparkContext.applicationId} {path}"
+    if key not in _shipped:
+        spark.sparkContext.addFile(path)
+        _shipped.add(key)
+
+
+def shipped(path: str) -> str:
+    """Where a shipped file lies in this process: among the job's files in a worker, else at its own path."""
+    from pyspark import SparkFiles
+
+    if SparkFiles._root_directory or SparkFiles._is_running_on_worker:
+        at = os.path.join(SparkFiles.getRootDirectory(), os.path.basename(path))
+        if os.path.exists(at):
+            return at
+    return path
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[..., Iterable[tuple]]], schema: StructType | str) -> DataFrame:
     """Flat-map rows through Python, batch by batch.
 
