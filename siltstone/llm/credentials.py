@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.functions.arrow import map_rows
+from siltstone.functions.arrow import map_rows, ship_file
+from siltstone.llm.secrets import VOCABULARY
 
 
 def _texts(skill_file: DataFrame, finding: DataFrame) -> DataFrame:
@@ -45,11 +46,13 @@ def credentials(skill_file: DataFrame, finding: DataFrame) -> DataFrame:
     and empty texts hold nothing; repeated rows count each; the tables' other
     columns don't matter.
     """
+    ship_file(skill_file.sparkSession, VOCABULARY)
     return map_rows(_texts(skill_file, finding), _finder, "origin string, row_id long, line_no int, kind string, n_pieces int")
 
 
 def redacted(skill_file: DataFrame, finding: DataFrame) -> DataFrame:
     """``origin, row_id, n_credentials, redacted`` of the texts that hold any."""
+    ship_file(skill_file.sparkSession, VOCABULARY)
     return map_rows(_texts(skill_file, finding), _redactor, "origin string, row_id long, n_credentials int, redacted string")
 
 

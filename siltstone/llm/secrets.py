@@ -23,7 +23,9 @@ import re
 from collections.abc import Iterator
 from functools import cache
 
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+from siltstone.functions.arrow import shipped
+
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"  # shipped to the executors by name, see ``arrow.ship_file``
 
 # --- dictionary and Viterbi
 
@@ -32,7 +34,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 def dictionary(path: str = VOCABULARY) -> dict[str, float]:
     """Lower-case word of three letters or more -> cost in bits."""
     words: dict[str, float] = {}
-    with open(path, "rb") as f:
+    with open(shipped(path), "rb") as f:
         for line in f:
             a, rank = line.split()
             w = base64.b64decode(a)
@@ -102,40 +104,47 @@ FORMAT_PREFIX = re.compile(r"(?:AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|sk-proj-
 # --- places
 
 WORDS = (
-    r"pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|api[_\- .]?key|access[_\- .]?key(?:[_\- .]?id)?|private[_\- .]?key|key|auth(?:orization)?|bearer|jwt|pat|dsn"
+    r"pass(?:word|wd|phrase|code)?|pwd|secret|token|creds?|credentials?|api[_\- .]?key|access[_\- .]?key(?:[_\- .]?id)?|private[_\- .]?key|key|auth(?:orization)?|bearer|jwt|pat|dsn"
 )
 NAME = re.compile(rf"(?i)(?:{WORDS})")
 PASSWORD_NAME = re.compile(r"(?i)pass(?:word|wd|phrase|code)?(?![a-z])|pwd")
 #: a name, what binds it to a value, and the value's quote or first character
 ASSIGN = re.compile(
-    r"(?P<name>[A-Za-z_$@][\w$.\-]{0,60}|[A-Za-z])(?P<post>[\"'`\]]{0,3})[ \t]*(?P<op>:=|=>|=(?!=)|:(?![:/=])|,|\?\?=?|\|\|=?)[ \t]*(?P<q>[rbuf]{0,2}[\"'`]|(?=[^\s\"'`]))"
+    r"(?<![\w$.])(?<![\w$.]-)(?P<name>[\w$@][\w$.\-]*+)(?P<post>[\"'`\]]{0,3})[ \t]*(?P<op>:=|=>|=(?!=)|:(?![:/=])|,|\?\?=?|\|\|=?)[ \t]*(?P<q>[rbuf]{0,2}[\"'`]|(?=[^\s\"'`]))"
 )
-URL_USER = re.compile(r"[A-Za-z][A-Za-z0-9+.\-]{1,20}://(?P<u>[^\s/:@\"'`<>]*):(?P<p>[^\s/@\"'`<>]{3,200})@(?=[\w\[.-])")
+URL_USER = re.compile(r"[A-Za-z][A-Za-z0-9+.\-]{1,20}://(?P<u>[^\s/:@\"'`<>]*):(?P<p>[^\s/@\"'`<>]{3,}+)@(?=[\w\[.-])")
 AUTH = re.compile(r"(?i)\b(?P<s>basic|bearer|token|apikey|digest)[ \t]+(?P<v>[^\s\"'`,;<>(){}]{8,})")
 HEADER = re.compile(r"(?i)\b(?P<h>(?:x-)?(?:[a-z]+-)*(?:auth|authorization|token|key|secret|api-?key|password)(?:-[a-z]+)*)[\"'`]?[ \t]*:[ \t]*[\"'`]?(?P<v>[^\s\"'`]{8,})")
 FLAG = re.compile(r"(?i)(?<![\w-])--?(?P<name>[a-z-]*(?:pass(?:word|wd|phrase)?|pwd|secret|token|key|auth|user)[a-z-]*)(?:=|[ \t]+)(?P<q>[\"']?)(?P<v>[^\s\"']{6,})")
 PROSE = re.compile(r"(?i)\b(?:pass(?:word|wd|phrase|code)?|secret|token|credentials?|(?:api|access|account|signing|encryption|service|geo|llm|model|maps|payment)?[ _-]?key(?:[ _]id)?|apikey|jwt|pat|pwd)\b")
 RUN = re.compile(r"[A-Za-z0-9!@#$%^&*][A-Za-z0-9+/=_.\-~!@#$%^&*]{6,}[A-Za-z0-9=!@#$%^&*/+]")
+STOP = re.compile(r"[.!?;](?=\s)|\s[|]\s")
 PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 PEM_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
-PEM_BODY = re.compile(r"(?:\\r|\\n|\s|[\"'+,>|#]|(?:[A-Za-z-]+:[^\n\\]{1,80}))*[A-Za-z0-9+/]{16}")
+PEM_BODY = re.compile(r"(?:\\r|\\n|\s|[\"'+,>|#]|(?:[A-Za-z-]+:[^\n\\]++))*[A-Za-z0-9+/]{16}")
+KEY_LINE = re.compile(r"[A-Za-z0-9+/]{1,64}")
 PIECE = re.compile(r"[ \t]*(?:\+|,|\.|&|\\?\n)?[ \t]*(?:\\?\n[ \t]*)?(?:\+|,)?[ \t]*[rbuf]{0,2}([\"'`])((?:(?!\1)[^\\\n])*)\1")
 CODE_VALUE = re.compile(r"[A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*(?:[(\[{]|$)|[\[({\d+\-!]")
 #: a line without one of these (in lower case) has no place for a credential
-PLACES = ("pass", "pwd", "secret", "token", "key", "auth", "bearer", "jwt", "pat", "dsn", "user", "-u ", "-u\t", "credential", "akia", "asia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "k_live_", "k_test_", "xox", "aiza", "npm_", "eyj", "eyi", "glpat", "sg.", "hf_", "pypi-", "github_pat", "basic ", "basic\t", "digest ", "digest\t")
+PLACES = ("pass", "pwd", "secret", "token", "key", "auth", "bearer", "jwt", "pat", "dsn", "user", "-u ", "-u\t", "cred", "akia", "asia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "k_live_", "k_test_", "xox", "aiza", "npm_", "eyj", "eyi", "glpat", "sg.", "hf_", "pypi-", "github_pat", "basic ", "basic\t", "digest ", "digest\t")
+#: a literal without one of the names: long and of the characters that keys are made of, bound to any name
+ANY_NAME = re.compile(r"[=:(,>\[][ \t]*[rbuf]{0,2}(?P<q>[\"'`])(?P<v>[A-Za-z0-9+/_\-.~]{20,}={0,2})(?P=q)")
+LONG_RESIDUAL, LONG_SHARE = 16, 0.5
+#: a short literal that something may be joined to
+JOINED = re.compile(r"[\"'`][^\"'`\n]{0,5}[\"'`][ \t]*(?:[+,.&\\\"'`]|\r?\Z)")
 SUSPECT = re.compile(r"[A-Za-z0-9_!@#$%^&*+/~.\-]{6,}")
 CAMEL = re.compile(r"(?:[A-Za-z][a-z]{2,}|[A-Z]{2,})(?:[_.\-/]?[A-Z][a-z]{2,}|[_.\-/][a-z]{2,})*\Z")
 OPEN_END = (":", "=", "(", "\\", "[", "|", ">-", ">", ",", "|-")
 
 
 def _suspicious(line: str) -> bool:
-    """Whether a run of characters in the line is more than a plain name."""
+    """Whether a run of characters in the line is more than a plain name, or a short literal may be one of several pieces."""
     for v in SUSPECT.findall(line):
         if v.isdigit() or v.islower() and v.isalpha():
             continue
         if not CAMEL.match(v):
             return True
-    return False
+    return JOINED.search(line) is not None
 
 
 def _mixed(v: str) -> int:
@@ -168,6 +177,18 @@ def secret_value(v: str, name: str, place: str) -> bool:
     return left >= 12 and len(v) >= 16
 
 
+def keylike(v: str, name: str) -> bool:
+    """Whether a literal bound to a name that says nothing is a key: long, of letters in both cases and digits, most of it unexplained."""
+    if not name or HASH_NAME.search(name) or NOT_A_VALUE_NAME.search(name) or SRI.match(v) or UUID.match(v) or HASHES.match(v) or PLACEHOLDER.search(v):
+        return False
+    if not (any(c.isdigit() for c in v) and any(c.islower() for c in v) and any(c.isupper() for c in v)) or len(set(v)) < 12:
+        return False
+    if _decode(v):  # text, encoded
+        return False
+    left = residual(v)
+    return left >= LONG_RESIDUAL and left >= LONG_SHARE * len(v)
+
+
 def find(text: str | None) -> list[tuple[int, list[tuple[int, int]], str]]:
     """Credentials of a text: (line from 1, spans of its literal pieces, kind), in order.
 
@@ -196,12 +217,13 @@ def find(text: str | None) -> list[tuple[int, list[tuple[int, int]], str]]:
         if text.find("@", i, e) > 0:
             starts.add(text.rfind("\n", 0, i) + 1)
         i = text.find("://", e)
+    starts.update(text.rfind("\n", 0, m.start("v")) + 1 for m in ANY_NAME.finditer(text))
     out: list[tuple[int, list[tuple[int, int]], str]] = []
     number, at, skip_to = 1, 0, 0
     for a in sorted(starts):
         e = text.find("\n", a)
         e = len(text) if e < 0 else e
-        if e - a < 8 or e <= skip_to or not _suspicious(text[a:e]):
+        if e - a < 3 or e <= skip_to or not _suspicious(text[a:e]):
             continue
         before = text[text.rfind("\n", 0, a - 1) + 1 : a - 1] if a else ""
         taken: list[tuple[list[tuple[int, int]], str]] = []
@@ -223,6 +245,8 @@ def _line(text: str, a: int, e: int, before: str) -> Iterator[tuple[list[tuple[i
             i = a + m.end()
             body = PEM_BODY.match(text, i)
             rest = text[i : i + 3]
+            if body and not _unexplained(text, body.end() - 16):
+                continue
             if body and not PLACEHOLDER.search(text[body.end() - 16 : body.end() + 24].split("\n")[0]):
                 end = PEM_END.search(text, i)
                 nxt = PEM.search(text, i)
@@ -272,14 +296,19 @@ def _line(text: str, a: int, e: int, before: str) -> Iterator[tuple[list[tuple[i
     if last.endswith(OPEN_END):
         name = _name_at_end(last)
         if name and NAME.search(name):
-            q = re.match(r"[ \t]*[rbuf]{0,2}([\"'`]?)([^\s\"'`,;]{6,})", line)
+            q = re.match(r"[ \t]*[rbuf]{0,2}(?:([\"'`])([^\s\"'`,;]+)|()([^\s\"'`,;]{6,}))", line)
             if q:
-                spans = [(a + q.start(2), a + q.end(2))]
-                v = q.group(2)
+                k = 2 if q.group(1) else 4
+                spans = [(a + q.start(k), a + q.end(k))]
+                v = q.group(k)
                 if q.group(1):
                     v, spans = _pieces(text, a + q.start(2), q.group(1), e)
                 if _judge(v, name, bool(q.group(1))):
                     yield spans, "assignment"
+    for m in ANY_NAME.finditer(line):
+        name = _name_at_end(line[: m.start() + 1].replace("(", "=").replace("[", "=").replace(">", "=")) if m.group()[0] != "," else ""
+        if keylike(m.group("v"), name) and not PATTERN.search(line):
+            yield [(a + m.start("v"), a + m.end("v"))], "assignment"
     for m in FORMAT.finditer(line):
         i = m.start()
         if i and (line[i - 1].isalnum() or line[i - 1] in "_"):
@@ -297,7 +326,7 @@ def _line(text: str, a: int, e: int, before: str) -> Iterator[tuple[list[tuple[i
                 v = m.group().rstrip(".")
                 if len(v) < 8:
                     continue
-                near = line[max(0, m.start() - 60) : m.start()] + " " + line[m.end() : m.end() + 40]
+                near = _sentence(line, m.start(), m.end())
                 k = PROSE.search(near)
                 if not k or HASH_NAME.search(near):
                     continue
@@ -314,6 +343,19 @@ def _line(text: str, a: int, e: int, before: str) -> Iterator[tuple[list[tuple[i
                     yield [(a + m.start(), a + m.start() + len(v))], "prose"
 
 
+def _sentence(line: str, i: int, j: int) -> str:
+    """What stands around i..j in its sentence."""
+    start = max((m.end() for m in STOP.finditer(line, 0, i)), default=0)
+    end = STOP.search(line, j)
+    return line[start:i] + " " + line[j : end.start() if end else len(line)]
+
+
+def _unexplained(text: str, i: int) -> bool:
+    """Whether a key's first line is no plain words."""
+    run = KEY_LINE.match(text, i).group()
+    return residual(run) >= 0.3 * len(run)
+
+
 def _pem_stop(text: str, i: int) -> int:
     m = re.compile(r"(?:\\r|\\n|[\s\"'+,]|[A-Za-z0-9+/=]{16,}|[A-Za-z0-9+/=]+(?=\s*(?:\\n|\n|\Z|\"|'|`)))*").match(text, i)
     return m.end() if m else i
