@@ -3,33 +3,61 @@
 from __future__ import annotations
 
 import re
+import zlib
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions.arrow import map_batches
+from siltstone.llm.repair import TOKEN
 from siltstone.session import checkpoint
 
 BATCH = 500  # files whose tokens are in memory at once
-REUSE = 0.34  # a grammar smaller than this by its text: generated, with nothing else to say so
-REUSE_DATA = 0.5  # the same in a file that is half literals
+REUSE = 0.34  # a grammar smaller than this by its text: generated
+REUSE_DATA = 0.5  # the same in a file of code that is half literals: a table
+REUSE_CONFIG = 0.43  # the same in configuration
 SHARED = 0.5  # share of a file's tokens in rules that other repositories have too
-LITERAL = 0.88  # share of a file's characters in literals
-LEAST_TOKENS, LEAST_CHARS = 45, 200
-DENSE = 0.09  # white space in minified scripts stays below this share
-
-CODE = ("py", "js", "mjs", "cjs", "ts", "jsx", "sh", "bash")
-CONFIG = ("json", "yaml", "yml", "toml", "lock", "map", "gen", "css", "html")
+BLOB_CODE, BLOB_CONFIG = 0.62, 0.5  # share of a file that stays when its long literals are packed and all else is left out
+BLOB_LOCK = 0.35  # the same with a grammar below REUSE_DATA
+DENSE, LEAST_CHARS = 0.09, 200  # white space in minified scripts stays below this share; a line of script is none
+
+SCRIPT = ("js", "mjs", "cjs")
+CODE = (*SCRIPT, *"py pyw pyi ts tsx jsx sh bash zsh ksh ps1 java kt scala groovy go rs rb php pl pm lua r jl swift c h cc cpp cxx hpp hh cs fs vb m mm dart ex exs erl hs clj sql vue svelte".split())
+CONFIG = ("json", "yaml", "yml", "toml", "lock", "map", "gen")
+MARKUP = ("css", "html", "htm", "svg", "xml")
 NOTICE = re.compile(
     r"(?i)@generated\b|\bauto[- ]?generated\b|\bautomatically[ ](?:generated|produced)\b|\b(?:code|file)[ ](?:is[ ]|was[ ])?generated[ ](?:by|with|from)\b"
     r"|^[\s#/*\"']*generated[ ](?:by|with|from)\b|\bchanges[ ]will[ ]be[ ]lost\b",
     re.M,
 )
-BANNER = re.compile(r"\A[\s#/*!]*[\w.@/-]+[ ]v?\d+\.\d+[\w.]*[ ]+[-–][ ]")
-LICENCE = re.compile(r"(?i)copyright|licen[cs]e|upstream")
-VENDOR_DIR = re.compile(r"(?i)(?:^|/)(?:vendor|vendored|third[_-]?party|deps|extern|externals?|node_modules|bower_components)/[^/]+/")
 PINS = re.compile(r"sha(?:1|256|384|512)[-:]")
 WEB_PAGE = re.compile(r"(?i)\A\s*<(?:!doctype|html)")
+LITERAL = re.compile(r"\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?'''|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`|[A-Za-z0-9+/=]{40,}")
+LONG_LITERAL = 26
+
+
+def incompressible(text: str) -> float:
+    """Share of a text that is left when its long literals without blanks are packed, and all else is left out."""
+    whole = "".join(x for x in LITERAL.findall(text) if len(x) >= LONG_LITERAL and " " not in x)
+    return len(zlib.compress(whole.encode("utf-8", "surrogatepass"), 9)) / len(text) if whole else 0.0
+
+
+def notice(text: str, docstring: bool) -> bool:
+    """Whether a comment anywhere, or a string before the first code, says that the text is a generator's."""
+    low = text.lower()
+    if "generated" not in low and "produced" not in low and "will be lost" not in low:
+        return False
+    head = docstring
+    for t in TOKEN.findall(text):
+        if t[0] == "#" or t[0] == "/" and t[1:2] in ("/", "*"):
+            if NOTICE.search(t):
+                return True
+        elif head and t[0] in "\"'":
+            if NOTICE.search(t):
+                return True
+        else:
+            head = False
+    return False
 
 
 def extension(path: Column, content: Column) -> Column:
@@ -45,78 +73,72 @@ def extension(path: Column, content: Column) -> Column:
 def _judge():
     import numpy as np
 
-    from siltstone.llm.repair import Batch, NUMBER, common_rules, own_grammar
+    from siltstone.llm.repair import Batch, common_rules, own_grammar
 
-    def one(path, ext, text, heads, tokens, chars, literal, first, ratio):
-        code, script = ext in CODE, ext in ("js", "mjs", "cjs")
+    def one(ext, text, tokens, chars, literal, ratio):
+        """``(kind, evidence)``: what the file's grammar or literals show; only where they don't, what it says of itself."""
         if not tokens or WEB_PAGE.match(text):
-            return None
-        notes = [t for t in heads if t[0] == "#" or t[:2] in ("//", "/*")]
-        if ext == "py" and heads and heads[0][:3] in ('"""', "'''"):
-            notes.append(heads[0])
-        notice = any(NOTICE.search(t) for t in notes)
+            return None, None
         share = literal / max(1, chars)
-        white = sum(map(text.count, " \n\t\r")) / len(text)
-        if script and white < DENSE and tokens >= LEAST_TOKENS:
-            return "minified"
-        if code:
-            if ratio <= REUSE and tokens >= LEAST_TOKENS and not text.startswith("---"):
-                return "generated"
-            if notice:
-                return "generated"
-            if script and '"__esModule"' in heads:
-                return "generated"
-            if share >= 0.45 and ratio <= REUSE_DATA and tokens >= LEAST_TOKENS:
-                return "data"
-            if share >= LITERAL and literal >= LEAST_CHARS and 0 <= first < NUMBER - 2:
-                return "data"
-        else:
-            if notice:
-                return "generated"
-            pins = len(PINS.findall(text))
-            if ratio <= 0.85 and (pins >= 2 or '"lockfileVersion"' in heads) and ext in ("json", "yaml", "yml", "toml", "lock"):
-                return "generated"
-            if '"mappings"' in text and '"sources"' in heads:
-                return "generated"
-        if code and VENDOR_DIR.search(path):
-            return "third-party"
-        if code and notes and BANNER.match(notes[0]) and LICENCE.search("\n".join(notes[:8])):
-            return "third-party"
-        return None
+        if ext in CODE:
+            if ext in SCRIPT and len(text) >= LEAST_CHARS and sum(map(text.count, " \n\t\r")) / len(text) < DENSE:
+                return "minified", "density"
+            if ratio <= REUSE and not text.startswith("---"):
+                return "generated", "reuse"
+            if share >= 0.45 and ratio <= REUSE_DATA:
+                return "data", "reuse"
+            if share >= 0.45 and incompressible(text) >= BLOB_CODE:
+                return "data", "literals"
+            if ext in SCRIPT and '"__esModule"' in text:
+                return "generated", "notice"
+        elif ext in CONFIG:
+            blob = incompressible(text) if share >= 0.3 else 0.0
+            if ratio <= REUSE_CONFIG:
+                return "generated", "reuse"
+            if ext in ("json", "map") and blob >= BLOB_CONFIG or ratio <= REUSE_DATA and blob >= BLOB_LOCK:
+                return "generated", "literals"
+            if ratio <= 0.85 and ext != "map" and (len(PINS.findall(text)) >= 2 or '"lockfileVersion"' in text) or '"mappings"' in text and '"sources"' in text:
+                return "generated", "notice"
+        if notice(text, ext == "py"):
+            return "generated", "notice"
+        return None, None
 
     def batch(cols):
         for at in range(0, len(cols["file_id"]), BATCH):
-            ids, skills, paths, exts, texts = (cols[k][at : at + BATCH] for k in ("file_id", "skill_key", "path", "ext", "content"))
+            ids, skills, exts, texts = (cols[k][at : at + BATCH] for k in ("file_id", "skill_key", "ext", "content"))
             b = Batch(texts)
             ratio = own_grammar(b.shape, b.file, b.n_files)
             rules: list[list[dict]] = [[] for _ in ids]
             for f, name, w in zip(*(c.tolist() for c in common_rules(b.raw, b.file))):
                 rules[f].append({"name": name - (1 << 63), "tokens": w})
-            tokens, chars, literal, first = (x.tolist() for x in (b.tokens, b.chars, b.literal, b.first))
+            tokens, chars, literal = (x.tolist() for x in (b.tokens, b.chars, b.literal))
             for k, i in enumerate(ids):
-                kind = one(paths[k], exts[k], texts[k], b.heads[k], tokens[k], chars[k], literal[k], first[k], ratio[k])
+                kind, evidence = one(exts[k], texts[k], tokens[k], chars[k], literal[k], ratio[k])
                 # only files of code that nothing else gives away need to be compared across repositories; all take part in the count
-                yield i, skills[k], kind, tokens[k], float(np.round(ratio[k], 4)), rules[k] if exts[k] in CODE else []
+                yield i, skills[k], kind, evidence, tokens[k], float(np.round(ratio[k], 4)), rules[k] if exts[k] in CODE else []
 
     return batch
 
 
-FEATURES = "file_id long, skill_key long, kind string, n_tokens long, reuse double, rules array<struct<name: long, tokens: long>>"
+FEATURES = "file_id long, skill_key long, kind string, evidence string, n_tokens long, reuse double, rules array<struct<name: long, tokens: long>>"
 
 
 def features(skill_file: DataFrame) -> DataFrame:
     """One row per file of code or configuration: its own grammar's verdict and its rules of the common grammar."""
     ext = extension(F.col("path"), F.col("content"))
     src = skill_file.select(
-        "file_id", F.xxhash64("skill_name").alias("skill_key"), F.coalesce("path", F.lit("")).alias("path"), ext.alias("ext"), F.coalesce("content", F.lit("")).alias("content")
-    ).where(F.col("ext").isin(*CODE, *CONFIG))
+        "file_id", F.xxhash64("skill_name").alias("skill_key"), ext.alias("ext"), F.coalesce("content", F.lit("")).alias("content")
+    ).where(F.col("ext").isin(*CODE, *CONFIG, *MARKUP))
     return map_batches(src, _judge, FEATURES)
 
 
 def machine_made(skill_file: DataFrame) -> DataFrame:
-    """``file_id, kind, reuse, shared``: the files that their skill's authors did not type.
+    """``file_id, kind, evidence, reuse, shared``: the files that their skill's authors did not type.
 
-    ``kind`` is generated, minified, data or third-party. ``shared`` is the share
+    ``kind`` is generated, minified, data or third-party; ``evidence`` is what
+    shows it: reuse of rules, incompressible literals, density, rules shared
+    across skills, or (notice) what the file says of itself where its grammar
+    shows nothing. Where a file lies doesn't matter. ``shared`` is the share
     of a file's tokens in rules that another skill has too (null where a file is
     given away without it). A rule's skills are counted by their smallest and
     largest key, so a rule that stands in a third of all files costs no more
@@ -135,9 +157,9 @@ def machine_made(skill_file: DataFrame) -> DataFrame:
         .agg((F.sum("tokens") / F.greatest(F.lit(1), F.max("n_tokens"))).alias("shared"))
         .where(F.col("shared") >= SHARED)
     )
-    own = f.where("kind IS NOT NULL").select("file_id", "kind", "reuse", F.lit(None).cast("double").alias("shared"))
+    own = f.where("kind IS NOT NULL").select("file_id", "kind", "evidence", "reuse", F.lit(None).cast("double").alias("shared"))
     return own.unionByName(
-        shared.select("file_id", F.lit("third-party").alias("kind"), F.lit(None).cast("double").alias("reuse"), "shared")
+        shared.select("file_id", F.lit("third-party").alias("kind"), F.lit("shared rules").alias("evidence"), F.lit(None).cast("double").alias("reuse"), "shared")
     )
 
 

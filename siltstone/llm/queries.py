@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from siltstone.llm import containers, credentials, handwritten, invalid_source, language, leakage
 from siltstone.sources.tables import spread
@@ -53,6 +54,11 @@ def p4_kinds(spark: SparkSession, d: str) -> DataFrame:
     return handwritten.kinds_by_language(f, handwritten.machine_made(f))
 
 
+def p4_evidence(spark: SparkSession, d: str) -> DataFrame:
+    m = handwritten.machine_made(table(spark, d, "skill_file"))
+    return m.groupBy("kind", "evidence").agg(F.count(F.lit(1)).alias("n_files"))
+
+
 def p6_containers(spark: SparkSession, d: str) -> DataFrame:
     return containers.fill(table(spark, d, "documents"), table(spark, d, "container_profile"))
 
@@ -87,7 +93,7 @@ QUERIES = {
     for f in (
         p1_found, p1_errors, p1_rates, p1_analysed_before,
         p2_found, p2_redacted, p2_by_rule,
-        p4_found, p4_kinds,
+        p4_found, p4_kinds, p4_evidence,
         p6_containers, p6_usage,
         p7_found, p7_leaked_items,
         p8_found, p8_languages, p8_segments,

@@ -31,7 +31,6 @@ KEYWORDS = frozenset(
 VALUE = frozenset("None True False null true false Object freeze".split())
 COMMENT, WORD, PUNCT, MARK, STRING, NUMBER, CONSTANT = range(7)  # MARK: punctuation of literals
 LONG = 40  # tokens that a rule of the common grammar must span to be compared
-ROUNDS = 14
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -81,12 +80,11 @@ class Batch:
     def __init__(self, texts: list[str]):
         v = Vocabulary()
         ids: list[int] = []
-        ends, self.heads = [], []
+        ends = []
         for t in texts:
             toks = TOKEN.findall(t)
             ids += [v[x] for x in toks]
             ends.append(len(ids))
-            self.heads.append(toks[:40])
         n = len(texts)
         i = np.array(ids, dtype=np.int64)
         f = np.repeat(np.arange(n), np.diff([0, *ends]))
@@ -110,11 +108,6 @@ class Batch:
             self.literal = np.bincount(f[at][big], weights=run[big], minlength=n)
         else:
             self.literal = np.zeros(n)
-        first = np.full(n, -1)
-        if len(i):
-            starts = np.flatnonzero(np.concatenate(([True], f[1:] != f[:-1])))
-            first[f[starts]] = kind[starts]
-        self.first = first
 
 
 def _choose(prio: np.ndarray, same: np.ndarray) -> np.ndarray:
@@ -141,13 +134,14 @@ def _replace(x: np.ndarray, f: np.ndarray, w: np.ndarray, take: np.ndarray, name
 
 
 def own_grammar(x: np.ndarray, f: np.ndarray, n_files: int) -> np.ndarray:
-    """Size of each file's own grammar (rules and what is left of the text, in symbols) by its number of tokens."""
+    """Size of each file's own grammar (rules and what is left of the text, in symbols) by its number of tokens.
+
+    Rounds go on until no pair occurs twice in its file.
+    """
     total = np.bincount(f, minlength=n_files)
     rules = np.zeros(n_files)
     w = np.ones(len(x), dtype=np.int64)
-    for _ in range(ROUNDS):
-        if len(x) < 2:
-            break
+    while len(x) > 1:
         names = _mix(x[:-1], x[1:])
         same = f[:-1] == f[1:]
         key = _mix(names, f[:-1].astype(np.uint64))
@@ -168,9 +162,7 @@ def common_rules(x: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     """Rules of the common grammar when they first span ``LONG`` tokens: (file, name, tokens)."""
     w = np.ones(len(x), dtype=np.int64)
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for _ in range(ROUNDS + 4):
-        if len(x) < 2:
-            break
+    while len(x) > 1:
         names = _mix(x[:-1], x[1:])
         # a hash other than the name's own order, so that no symbol is favoured
         prio = (names * _M2) >> np.uint64(1)

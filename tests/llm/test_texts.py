@@ -348,6 +348,42 @@ def test_machine_made(spark):
     assert handwritten.machine_made(t.limit(0)).count() == 0
 
 
+def judge(path_ext, text):
+    return [k for _, _, k, *_ in handwritten._judge()({"file_id": [1], "skill_key": [1], "ext": [path_ext], "content": [text]})][0]
+
+
+@pytest.mark.parametrize("n", [0, 7, 8, 9, 39, 40, 41, 45, 400])
+def test_notice_behind_a_licence_of_any_length(n):
+    licence = "".join(f"# line {i} of the licence\n" for i in range(n))
+    for doc in ("", '"""What this is."""\n'):
+        assert judge("py", "#!/usr/bin/env python3\n" + doc + licence + "# Code generated by toolx. DO NOT EDIT.\n" + source(3)) == "generated"
+    assert judge("py", licence + source(3) + "    # ### commands auto generated by toolx ###\n" + source(4)) == "generated"
+    assert judge("py", licence + source(3) + "T = '# Code generated by toolx. DO NOT EDIT.'\n") is None
+
+
+def test_where_a_file_lies_does_not_matter(spark):
+    rows = [(1, "a", "src/vendor/mine/a.py", source(5)), (2, "a", "third_party/x/b.js", "// x v1.2.3 - copyright\nfunction f(a) { return a + 1; }\n")]
+    assert handwritten.machine_made(spark.createDataFrame(rows, "file_id long, skill_name string, path string, content string")).count() == 0
+
+
+def test_incompressible_literals_are_blobs():
+    rnd = random.Random(2)
+    b64 = lambda n: "".join(rnd.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(n))
+    blob = "DATA = (\n" + "".join(f'    "{b64(76)}"\n' for _ in range(12)) + ")\n"
+    assert judge("py", blob) == "data" and judge("sh", "base64 -d <<'EOF'\n" + "".join(b64(76) + "\n" for _ in range(12)) + "EOF\n") == "data"
+    assert judge("py", source(1, 20) + f'KEY = "{b64(60)}"\n') is None
+    assert judge("py", "TEXT = (\n" + "".join(f'    "{a}_of_{b}_and_more_of_the_same"\n' for a in ("river", "stone") for b in ("one", "two", "three")) + ")\n") != "data"
+
+
+def test_grammar_goes_on_until_no_pair_is_left():
+    from siltstone.llm.repair import Batch, own_grammar
+
+    b = Batch(["a = b ; " * (1 << k) for k in range(1, 18)])
+    ratio = own_grammar(b.shape, b.file, b.n_files)
+    # a repeated statement needs a rule for each doubling, however often that is
+    assert all((3 * k + 8) / (4 << k) >= ratio[k - 1] for k in range(1, 18))
+
+
 def test_gate_covers_patterns():
     v = "x7Kq9vR2mZ4wB8nT3cY6"
     sg = "SG." + "aB3dE5fG7hJ9kL1m" + "." + "Q2wE4rT6yU8iO0pA1sD3"
