@@ -6,7 +6,6 @@ bundled grammar and returns ``None`` or ``(line, reason)``.
 
 from __future__ import annotations
 
-import json
 import re
 from functools import cache
 from importlib.resources import files
@@ -28,30 +27,7 @@ def first_error(language: str, text: str) -> tuple[int, str] | None:
         return text.count("\n", 0, text.index("\0")) + 1, "NUL character"
     r = recogniser(language)
     r.fit()
-    e = globals()[f"_{language}"](r, text)
-    return e if e is None or confirmed(language, text) else None
-
-
-def confirmed(language: str, text: str) -> bool:
-    """An exact second look at what the recogniser rejected, where Python has a parser for it."""
-    import ast
-    import tomllib
-    import warnings
-
-    try:
-        if language == "python":
-            with warnings.catch_warnings():
-                warnings.simplefilter("ignore")
-                ast.parse(text)
-        elif language == "json":
-            json.loads(text, parse_constant=lambda x: json.loads("!"))
-        elif language == "toml":
-            tomllib.loads(text.replace("\r\n", "\n"))
-        else:
-            return True
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return True
-    return False
+    return globals()[f"_{language}"](r, text)
 
 
 # --- JSON
@@ -91,32 +67,99 @@ _TOML_SCALAR = re.compile(
 )
 
 
+_TOML_DATE = re.compile(r"(?:(\d{4})-(\d\d)-(\d\d))?[Tt ]?(?:(\d\d):(\d\d):(\d\d)(?:\.\d+)?(?:[Zz]|[+-](\d\d):(\d\d))?)?\Z")
+_TOML_ESCAPE = re.compile(r'\\(?![btnfr"\\]|u(?![dD][89a-fA-F])[0-9a-fA-F]{4}|U000(?!0[dD][89a-fA-F])[0-9a-fA-F]{5}|U0010[0-9a-fA-F]{4})')
+_TOML_CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]|\r(?!\n)")
+
+
+def _toml_scalar(t: str) -> bool:
+    if not _TOML_SCALAR.match(t):
+        return False
+    m = _TOML_DATE.match(t)
+    if not m:
+        return True
+    year, month, day, h, mi, se, oh, om = (None if x is None else int(x) for x in m.groups())
+    if year is not None:
+        most = 30 + (month + month // 8) % 2 if month != 2 else 28 + (year % 4 == 0 and (year % 100 != 0 or year % 400 == 0))
+        if not (1 <= year and 1 <= month <= 12 and 1 <= day <= most):
+            return False
+    return (h is None or h < 24 and mi < 60 and se < 60) and (oh is None or oh < 24 and om < 60)
+
+
+class _TomlTable:
+    """What a table may still get: ``how`` is root, header, implied (by a longer header), dotted or element."""
+
+    def __init__(self, how: str):
+        self.how, self.items = how, {}
+
+    def open(self, key: list[str], array: bool) -> "_TomlTable | None":
+        """The table that a header names, from the root; ``None`` if it can't be named (again)."""
+        at = self
+        for k in key[:-1]:
+            x = at.items.setdefault(k, _TomlTable("implied"))
+            at = x[-1] if isinstance(x, list) else x
+            if not isinstance(at, _TomlTable):
+                return None
+        x = at.items.get(key[-1])
+        if array:
+            if x is None:
+                x = at.items[key[-1]] = []
+            if not isinstance(x, list):
+                return None
+            x.append(_TomlTable("element"))
+            return x[-1]
+        if x is None:
+            x = at.items[key[-1]] = _TomlTable("header")
+        elif isinstance(x, _TomlTable) and x.how == "implied":
+            x.how = "header"
+        else:
+            return None
+        return x
+
+    def put(self, key: list[str]) -> bool:
+        """Whether a value may be put under a (dotted) key of this table."""
+        at = self
+        for k in key[:-1]:
+            at = at.items.setdefault(k, _TomlTable("dotted"))
+            if not isinstance(at, _TomlTable) or at.how != "dotted":
+                return False
+        if key[-1] in at.items:
+            return False
+        at.items[key[-1]] = "value"
+        return True
+
+
 def _toml(r: Recogniser, text: str) -> tuple[int, str] | None:
     c, at, line, deep, value = r.codes, r.begin, 1, [], False
     toks = _TOML.findall(text)
     i = 0
-    seen: set = set()
-    table, key, fresh = "", [], True
+    root = table = _TomlTable("root")
+    key, header, outer = [], "", []  # outer: key and table around each inline table
     while i < len(toks):
         t = toks[i]
         i += 1
         f = t[0]
         if f in " \t" or f == "#":
+            if _TOML_CONTROL.search(t):
+                return line, "control character"
             continue
         if f in "\r\n" and t[-1] == "\n":
             k = c["NL"] if not deep or deep[-1] == "[" else 0
             line += 1
             if not deep:
-                value, key, fresh = False, [], True
+                value, key, header = False, [], ""
             if k == 0:
                 return line, "line break in an inline table"
         elif f in "\"'":
-            k = c["MLSTRING"] if t[:3] in ('"""', "'''") and len(t) > 5 else c["STRING"]
+            many = t[:3] in ('"""', "'''") and len(t) > 5
+            k = c["MLSTRING"] if many else c["STRING"]
             if len(t) < 2 or t[-1] != f:
                 return line, "unterminated string"
+            if _TOML_CONTROL.search(t) or f == '"' and _TOML_ESCAPE.search(re.sub(r"\\\\|\\[ \t]*\r?\n", "", t) if many else t.replace("\\\\", "")):
+                return line, "unreadable string"
             line += t.count("\n")
-            if not value:
-                key.append(t[1:-1])
+            if not value and not (deep and deep[-1] == "["):
+                key.append(t[1:-1].encode("latin-1", "backslashreplace").decode("unicode-escape") if f == '"' and "\\" in t else t[1:-1])
         elif t in ("[[", "]]") and (value or deep):
             # in values these are two brackets
             toks[i - 1 : i] = [f, f]
@@ -126,40 +169,38 @@ def _toml(r: Recogniser, text: str) -> tuple[int, str] | None:
             k = c[t]
             if value or deep:
                 deep.append("[")
-            elif fresh:
-                header = re.match(r"\s*\[\[?\s*(.*?)\s*\]", "".join(toks[i - 1 : i + 40]))
-                table = header.group(1) if header else ""
-                if t == "[":
-                    if ("table", table) in seen:
-                        return line, "repeated table"
-                    seen.add(("table", table))
-                else:
-                    table += f"#{line}"
-                fresh = False
+            else:
+                header = t
         elif f == "]":
             k = c[t]
             if deep:
                 deep.pop()
+            elif header and key:
+                table = root.open(key, header == "[[")
+                if table is None:
+                    return line, "repeated table"
+                header = ""
         elif f == "{":
             k = c["{"]
             deep.append("{")
-            value = False
+            outer.append((key, table))
+            key, table, value = [], _TomlTable("root"), False
         elif f == "}":
             k = c["}"]
             if deep:
                 deep.pop()
+            if outer:
+                key, table = outer.pop()
             value = True
         elif f == "=":
             k = c["="]
-            if not deep:
-                if (table, tuple(key)) in seen:
-                    return line, "repeated key"
-                seen.add((table, tuple(key)))
+            if key and not table.put(key):
+                return line, "repeated key"
             value = True
         elif f == ",":
             k = c[","]
             if deep and deep[-1] == "{":
-                value = False
+                value, key = False, []
         elif f == "." and not value:
             k = c["."]
         elif re.match(r"[A-Za-z0-9_+:-]", f):
@@ -170,7 +211,10 @@ def _toml(r: Recogniser, text: str) -> tuple[int, str] | None:
                 if re.match(r"\d{4}-\d\d-\d\d\Z", t) and i + 1 < len(toks) and toks[i] == " " and re.match(r"\d\d:", toks[i + 1]):
                     t += " " + toks[i + 1]
                     i += 2
-                if not _TOML_SCALAR.match(t):
+                    while i < len(toks) and (toks[i] == "." or (toks[i - 1] == "." and re.match(r"[\w+-]", toks[i]))):
+                        t += toks[i]
+                        i += 1
+                if not _toml_scalar(t):
                     return line, f"unreadable value {t[:20]}"
                 k = c["SCALAR"]
             else:
@@ -765,54 +809,95 @@ def _py_codes() -> dict[str, int]:
     return d
 
 
-def _py_string_end(text: str, i: int, quote: str, raw: bool, fstring: bool) -> int:
+def _py_string_end(text: str, i: int, quote: str) -> int:
     """Behind the closing quote, or -1."""
     n, q = len(text), len(quote)
     while i < n:
         ch = text[i]
         if ch == "\\":
             i += 2
-            continue
-        if q == 1 and ch == "\n":
+        elif q == 1 and ch == "\n":
             return -1
-        if text.startswith(quote, i):
+        elif text.startswith(quote, i):
             return i + q
-        if fstring and ch == "{":
-            if text.startswith("{{", i):
-                i += 2
-                continue
-            depth = 1
+        else:
             i += 1
-            spec = False
-            while i < n and depth:
-                ch = text[i]
-                if text.startswith(quote, i) and (spec or depth == 1 and quote not in text[i + q : i + q + 200].split("\n")[0]):
-                    return -1
-                if ch in "'\"" and not spec:
-                    m = re.compile(r"'''|\"\"\"|'|\"").match(text, i)
-                    j = _py_string_end(text, m.end(), m.group(), False, False)
-                    if j < 0:
-                        return -1
-                    i = j
-                    continue
-                if q == 1 and ch == "\n":
+    return -1
+
+
+def _py_fstring_end(r: Recogniser, text: str, i: int, quote: str, raw: bool, spec: bool = False) -> int:
+    """Behind the closing quote of a formatted string (before the brace that ends a format), or -1; its fields are read as expressions."""
+    n, q = len(text), len(quote)
+    while i < n:
+        ch = text[i]
+        if ch == "\\" and not spec:
+            if text.startswith("N{", i + 1) and not raw:
+                i = text.find("}", i)
+                if i < 0:
                     return -1
-                if ch in "{[(":
-                    depth += 1
-                elif ch in "}])":
-                    depth -= 1
-                elif ch == ":" and depth == 1:
-                    spec = True
                 i += 1
+            else:
+                i += 1 if text[i + 1 : i + 2] in ("{", "}") else 2
+        elif text.startswith(quote, i):
+            return -1 if spec else i + q
+        elif q == 1 and ch == "\n":
+            return -1
+        elif not spec and (text.startswith("{{", i) or text.startswith("}}", i)):
+            i += 2
+        elif ch == "}":
+            return i if spec else -1
+        elif ch == "{":
+            i = _py_field_end(r, text, i + 1, quote, raw)
+            if i < 0:
+                return -1
+        else:
+            i += 1
+    return -1
+
+
+def _py_field_end(r: Recogniser, text: str, i: int, quote: str, raw: bool) -> int:
+    """Behind the brace that ends a replacement field, or -1."""
+    n, at, depth = len(text), i, 0
+    while i < n:
+        if text[i] == "\n":
+            i += 1
             continue
+        m = _PY_TOK.match(text, i)
+        t = m.group()
+        if m.group("s"):
+            own = t.lstrip("rRbBuUfFtT")
+            pre = t[: len(t) - len(own)].lower()
+            i = _py_fstring_end(r, text, m.end(), own, "r" in pre) if "f" in pre or "t" in pre else _py_string_end(text, m.end(), own)
+            if i < 0:
+                return -1
+            continue
+        if depth == 0 and (t in ("!", ":", ":=", "}") or t == "="):
+            break
+        depth += (t in "([{") - (t in ")]}")
+        if depth < 0:
+            return -1
+        i = m.end()
+    expr = text[at:i].strip(" \t\n\f")
+    if not expr or _python(r, f"({expr}\n)\n" if expr.startswith("yield") else f"(x, {expr}\n)\n"):
+        return -1
+    if text.startswith("=", i):
         i += 1
-    return -1
+        while text[i : i + 1] in (" ", "\t", "\n") and i < n:
+            i += 1
+    if text.startswith("!", i):
+        m = re.compile(r"![ \t\n]*[sra][ \t\n]*(?=[:}])").match(text, i)
+        if not m:
+            return -1
+        i = m.end()
+    if text.startswith(":", i):
+        i = _py_fstring_end(r, text, i + 1, quote, raw, True)
+    return i + 1 if 0 <= i < n and text[i] == "}" else -1
 
 
 def _python(r: Recogniser, text: str) -> tuple[int, str] | None:
     text = text.replace("\r\n", "\n").replace("\r", "\n")
     c, codes, lines, moves = r.codes, _py_codes(), r.lines, r.moves
-    NEWLINE, INDENT, DEDENT, NAME, NUMBER, STRING = (c[x] for x in ("NEWLINE", "INDENT", "DEDENT", "NAME", "NUMBER", "STRING"))
+    NEWLINE, INDENT, DEDENT, NAME, NUMBER, STRING, BYTES = (c[x] for x in ("NEWLINE", "INDENT", "DEDENT", "NAME", "NUMBER", "STRING", "BYTES"))
     at, indents, depth, joined, i, n, number = r.begin, [(0, 0)], 0, False, 0, len(text), 0
     while i < n:
         number += 1
@@ -868,7 +953,7 @@ def _python(r: Recogniser, text: str) -> tuple[int, str] | None:
                 if m.lastgroup == "s" or m.group("s"):
                     quote = t.lstrip("rRbBuUfFtT")
                     pre = t[: len(t) - len(quote)].lower()
-                    e = _py_string_end(text, pos, quote, "r" in pre, "f" in pre)
+                    e = _py_fstring_end(r, text, pos, quote, "r" in pre) if "f" in pre or "t" in pre else _py_string_end(text, pos, quote)
                     if e < 0:
                         return number, "unterminated string"
                     if "\n" in text[pos:e]:
@@ -876,8 +961,10 @@ def _python(r: Recogniser, text: str) -> tuple[int, str] | None:
                         number += text.count("\n", pos, e)
                         j = text.find("\n", e)
                         end = n if j < 0 else j
+                    if "b" in pre and not text.isascii() and not text[pos:e].isascii():
+                        return number, "bytes of other characters than ASCII"
                     pos = e
-                    k = STRING
+                    k = BYTES if "b" in pre else STRING
                 elif m.group("n"):
                     if m.group("bad") and m.group("bad") not in ("and", "or", "if", "in", "is", "else", "for"):
                         return number, "invalid number"

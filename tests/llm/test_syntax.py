@@ -2,6 +2,9 @@
 
 import ast
 import json
+import random
+import tomllib
+import warnings
 
 import pytest
 from hypothesis import given, settings
@@ -91,3 +94,113 @@ def test_table(spark):
     rate = {r.language: (r.n_files, r.n_invalid) for r in error_rates(t).collect()}
     assert rate == {"python": (5, 2), "json": (1, 1)}
     assert t.select(language_of(F.col("path"), F.col("content")).alias("l")).where("l IS NOT NULL").count() == 6
+
+
+# --- against Python's own parsers, which the operator itself doesn't use
+
+PYTHON = [
+    'f() = 1', '1 += 2', 'None = 2', 'def f(a=1, b): pass', 'del f()', 'def f(*): pass',
+    'f(x for x in y, 1)', 'f(a=1, 2)', 'f(**k, *a)', 'a := 1', '[*a for a in b]', '{**a for a in b}',
+    'for f() in x: pass', 'with a as f(): pass', 'x = y = 1 = z', '(a, b): int', 'a.b: int = 3', '(a): int',
+    'lambda a=1, b: a', '[x for x in a if b else c]', '[x for x in y if a := 1]', '(yield) = 1', 'a + b = c', 'a() += 1',
+    '(a, b) += 1', '[a, b] = c', '*a, b = c', '*a = b', 'a if b else c = 1', 'f(a.b=1)',
+    'f(True=1)', 'class A(x for x in y): pass', 'def f(a, a): pass', 'def f(a, /, b, /): pass', 'def f(*a, *b): pass', 'def f(**k, a): pass',
+    'def f(*, **k): pass', 'def f(a, *, b=1, c, **k): pass', 'import a.b as c.d', 'from . import *', 'x = *a', 'x = *a, b',
+    'return *a, b', 'print(*a, **b, c=1)', 'f(*a, b)', 'f(b, *a, c=1, *d, **e)', 'a[b:=1]', 'a[*b]',
+    'a[1:2, ::3]', '{a: 1, **b}', '{a, *b}', '{a: 1, b}', '{a: b for a in c}', 'not a in b',
+    '1 + not 2', 'a = yield b', 'a = await b', 'try: pass\nexcept A, B: pass', 'try: pass\nexcept (A, B) as e: pass', 'try: pass\nexcept* A: pass\nexcept B: pass',
+    'match x:\n case {a: 1}: pass', 'match x:\n case A(b=1, c): pass', 'match x:\n case a.b | 1: pass', 'match x:\n case -1+2j: pass', 'match *a, b:\n case _: pass', 'match(x)',
+    'match = 1', 'case = type = _ = 3', 'type X = int', 'type X[T: int = str, *Ts, **P] = T', 'del (a, [b, c.d]), e[1]', 'del *a',
+    'assert (a, b)', 'global a.b', 'async def f(): pass', 'async x', '@a.b[1](c)\ndef f(): pass', 'with (a, b): pass',
+    'with (a as b, c): pass', 'with (a): pass', 'with a, b as (c, d): pass', 'with (yield a): pass', 'x = (yield)', 'f((yield))',
+    'f(yield)', 'lambda *: 1', 'lambda *, k: k', 'lambda a, /, b: a', 'lambda **k: k', 'def f(a, b=1, /, c=2): pass',
+    'def f(a, b=1, /, c): pass', 'def f(a=1, /, *, b): pass', 'f(a)(b).c = 1', 'a.b().c[1] += 2', '(a.b) = 1', '(a) += 1',
+    '((a)) = ((b)) = 1', 'for a, *b in c: pass', 'for (a) in c: pass', 'for a.b in c: pass', 'for x in *a, b: pass', 'if a := b: pass',
+    'while a := f(): pass', 'x = a := b', 'f(a := b)', 'f(a := b, c)', 'f(a for a in b)', 'f((a for a in b), c)',
+    'f(c, a for a in b)', 'f(a for a in b,)', "print 'x'", "exec 'x'", 'a <> b', '0777',
+    '1__0', '1_0', '0x_f', '1e5j', "'a' b'c'", "f'{a!r:>{b}}'",
+    "f'{a'", "f'{}'", "f'{a b}'", "f'{a['b']}'", "f'{{}}'", "f'}'",
+    "f'{a!x}'", "f'{a=}'", "f'{a = !r}'", "f'{a:{b}.{c}}'", "f'{a:{b!r:{c}}}'", "f'{lambda x: 1}'",
+    "f'{(lambda x: 1)}'", "f'{*a}'", "f'{*a, b}'", "f'{yield a}'", "f'{a:\\n}'", "f'\\{a}'",
+    "f'\\N{BULLET}'", "rf'\\{a}'", "rf'\\N{BULLET}'", "f'{\na\n}'", "f'{a #c\n}'", "f'''{a #c\n}'''",
+    "f'{a!=b}'", "f'{a==b}'", "f'{a:=5}'", "f'{f'{f'{1}'}'}'", 'f\'{"x"}\' \'y\'', "f'{a}' b'x'",
+    "b'é'", '(*a)', '(*a,)', 'f\'{a!r:^{w}}\' f"{b}"', "f'{a['x'", 'f\'{d["}"]}\'',
+    "f'{a if b else c}'", "f'{a:%Y-%m}'", "f'{ {1: 2}[1] }'", "f'{a,}'", "f'{!r}'", "f'{a!r'",
+    "f'{a:{}}'", "rb'\\x'", "ur'x'", '...', 'a..b', 'a.1',
+    '1.a', '1 .a', '1..a', 'if a:\n  b\n c', '\tif a:\n', 'x = 1;',
+    'x = 1;;', '; x', 'def f():\n  return\n\n\n', 'def f(): pass; return 1', 'class A: x = 1', 'class A(B, metaclass=C, *d): pass',
+    'nonlocal x, y', 'raise a from b', 'raise a, b', 'import a, b as c', 'from a import (b, c as d,)', 'from a import b,',
+    'from a import (b, *)', 'from .. a import b', 'from ... import b', 'from a import', 'not = 1', 'True += 1',
+    'a, b += 1', 'a = b += 1', 'f(*)', 'f(**)', 'f(,)', '(,)',
+    '()', '[]', '{}', '[,]', '(a,)', '(a for b in c for d in e if f if g)',
+    '{a for b in c}', 'async for a in b: pass', '[a async for b in c]', 'await a ** b', '-a ** -b', 'a ** -b',
+    'a if b', 'a if b else', 'lambda: lambda: 1', 'a < b < c', 'a is not b not in c', 'a not b',
+    'a @ b @= c', 'a @= b', 'a -> b', 'a ! b', 'a ? b', '$a',
+    'a\\\nb', 'a = \\\n  b', "x = '''a\nb'''", "x = 'a\\\nb'", "'a\nb'", '# only\n',
+    'x = 1 # c', 'if a: pass\nelse: pass', 'if a: pass\nelif: pass', 'else: pass', 'try: pass', 'try: pass\nfinally: pass',
+    'for a in b: pass\nelse: pass', 'while: pass', 'def f(a.b): pass', 'def (a): pass', 'def f(a:int=1)->str: pass', 'def f(a, (b, c)): pass',
+    'lambda (a, b): a', '@a\nx = 1', '@a\n@b\nclass C: pass', 'case x: pass', 'print(a b)', '[a b]',
+    'a b', 'a.b c', 'x = {1: 2, 3}', 'x = [1, 2', 'x = 1)', '(x]',
+]
+TOML = [
+    'a = 2020-13-45', 'a.b = 1\na = 2', 'a = 2\na.b = 1', '[a]\n[a]', '[a.b]\n[a]', '[a]\n[a.b]',
+    'a.b=1\n[a]', '[a]\nb.c=1\n[a.b]', '[a.b]\nx=1\n[a]\nb.y=2', '[[a]]\n[a]', '[a]\n[[a]]', '[[a]]\n[[a]]\n[a.b]\n[[a]]\n[a.b]',
+    '[[a]]\n[a.b]\n[a.b]', 'a = {b=1, b=2}', 'a = {b.c=1, b.d=2}', 'a = {b=1}\na.c = 2', 'a = {b=1}\n[a.c]', 'a=[1,2,]\n',
+    'a = [{b=1},{b=1}]', 'a = {b={c=1},d=2}\nb=1', 'a=1979-02-29', 'a=1980-02-29', 'a=2000-02-29', 'a=1900-02-29',
+    'a=24:00:00', 'a=23:59:60', 'a=07:32:00.999', 'a=1979-05-27 07:32:00.5Z', 'a=1979-05-27T07:32:00+25:00', 'a=1979-05-27T07:32:00-07:00',
+    'a=07:32', "a = '''x\ny'''", 'a = """x\\\n  y"""', 'a = "\\q"', 'a = "\\u00e9"', 'a = "\\ud800"',
+    'a = "\\U00110000"', '"a" = 1\na = 2', '"\\u0061" = 1\na = 2', '\'a\' = 1\n"a" = 2', 'a . b = 1\n a.c = 2', 'a = 1 # c',
+    '# \x01', "a = '\x01'", 'a=+1_000\nb=1__0', 'a=0x_1', 'a=0xdead_beef', 'a=1.',
+    'a=.5', 'a=1e5', 'a=inf\nb=-nan', 'a=True', '= 1', 'a',
+    'a = ', '[]', '[a.]', '[a', '[[a]', '[ a . b ]',
+    'a = [1\n,2\n# c\n]', 'a = {b=1,}', 'a = {\nb=1}', 'a=1 b=2', '[a] b=1', 'a.b.c=1\na.b.d=2',
+    'a.b.c=1\na.b=2', '[a.b.c]\n[a]\nb=1', '[a]\nb=1\n[a.b]', '[[a.b]]\n[a]\nb=1', '[[a.b]]\n[a]\nc=1', 'a=[1]\n[[a]]',
+    'a=00', 'a=-0', 'a=1-2', "a='x'y", 'a="x\n"', 'a=0001-01-01',
+    'a=0000-01-01', 'x=[[1,2],[3]]', 'x=[[[]]]', 'x = [ [ ] ]', 'x={}', 'x=[{}]',
+    'x = [{a=[{b=1}]}]\ny=1', 'a=1\r\nb=2\r\n', 'a=1\rb=2', 'a=2020-01-01t00:00:00z', "3.14 = 'pi'", '1 = 2\n1.2=3',
+    'a=1_', '\ta = 1', 'a\n=1', '[a]\n\n[b] # c\nx=1', '[x.y.z.w]\n[x]', 'a=""""x""""',
+    "a=''''x''''", 'a="""x""""""', '[a]\nb.c.d=1\n[a.b.c.e]', '[a.b.c]\nz=9\n[a]\nb.c.t=1',
+]
+
+
+def parses(parse, text):
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        try:
+            parse(text)
+        except (SyntaxError, ValueError):
+            return False
+    return True
+
+
+@pytest.mark.parametrize("text", PYTHON)
+def test_python_agrees_with_ast(text):
+    for t in (text, text + "\n", "def g():\n    " + text.replace("\n", "\n    ") + "\n"):
+        assert (first_error("python", t) is None) == parses(ast.parse, t), t
+
+
+@pytest.mark.parametrize("text", TOML)
+def test_toml_agrees_with_tomllib(text):
+    assert (first_error("toml", text) is None) == parses(tomllib.loads, text)
+
+
+def test_mutated_python_and_json_agree_with_their_parsers(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/skill_file.parquet").select("path", "content").where("path LIKE '%.py' OR path LIKE '%.json'").collect()
+    rnd, n = random.Random(5), 0
+    marks = ["(", ")", "=", ":", ",", "*", "+=", "def ", " in ", "{", "}", "'", "1", "lambda ", "\n", " if ", "[", "]", ".", "not "]
+    for r in rows:
+        text = (r.content or "").replace("\r\n", "\n")
+        if not 20 < len(text) < 3000 or "\0" in text or "\f" in text:
+            continue
+        language, parse = ("python", ast.parse) if r.path.endswith(".py") else ("json", json.loads)
+        for _ in range(6):
+            i = rnd.randrange(len(text))
+            t = text[:i] + rnd.choice(marks) + text[i + rnd.randrange(3) :]
+            assert (first_error(language, t) is None) == parses(parse, t), t
+            n += 1
+    assert n > 200
+
+
+@pytest.mark.parametrize("text,valid", [("1 = 2", False), ("a + b = c", False), ("this = 1", False), ("1++", False), ("a ? b : c = 1", True), ("this.x = 1", True), ("'a'.b = 1", True), ("[a, b] = c", True), ("class A { 'a' = 1; 2 = 3 }", True), ("(a)++", True)])
+def test_javascript_assignment_targets(text, valid):
+    assert (first_error("javascript", text) is None) == valid
