@@ -3,12 +3,17 @@
 What is planned is the histogram of lengths, never the items: it has at most
 ``capacity`` rows, however many items there are. A pattern of lengths that fill
 a container is found by exact complements: the largest items first, and as soon
-as the gap is near, one, two or three lengths whose sum is exactly the gap, by
-direct look-up in the availability counts. A pattern is consumed as often as
-its scarcest length allows, so each one exhausts a length and the plan has no
-more patterns than lengths. What no exact complement fits is placed best-fit.
-Items are then numbered within their length (in hashed sub-groups, so that no
-length is sorted in one task) and looked up in the plan.
+as one, two or three lengths can make up the gap, they are looked up in an
+index of single, pair and triple sums under the availability counts. A pattern
+is consumed as often as its scarcest length allows, so each one exhausts a
+length and the plan has no more patterns than lengths. What no exact complement
+fits is placed best-fit. Items are then numbered within their length, in hashed
+sub-groups whose number follows from the count of items, so that no length is
+sorted in one task; each sub-group gets its own part of the plan, joined on the
+keys it is partitioned by already.
+
+Tokens are those of a public byte-level BPE of 50,256 ranks (``VOCABULARY``, as
+GPT-2 has it, with its splitting pattern).
 """
 
 from __future__ import annotations
@@ -20,13 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siltstone.functions.arrow import map_batches
+from siltstone.functions.arrow import map_batches, ship_file, shipped
 from siltstone.session import checkpoint
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-BUCKETS = 64
-MOST_BROADCAST_ROWS = 200_000
+GROUP_ROWS = 500_000  # items that are numbered in one task
 
 
 @cache
@@ -35,7 +39,7 @@ def _encoding(vocabulary: str, pattern: str):
 
     import tiktoken
 
-    with open(vocabulary, "rb") as f:
+    with open(shipped(vocabulary), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
@@ -52,42 +56,67 @@ def _counter(vocabulary: str, pattern: str):
 
 def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
     """``doc_id, n_tokens`` in tokens of a public byte-level BPE; null and empty texts have none."""
+    ship_file(documents.sparkSession, vocabulary)
     return map_batches(documents.select("doc_id", "text"), partial(_counter, vocabulary, pattern), "doc_id long, n_tokens long")
 
 
-def _complement(avail: np.ndarray, gap: int, top: int) -> tuple[int, ...] | None:
-    """One, two or three available lengths with the sum ``gap``; ``top`` is the largest available one."""
-    if gap <= top and avail[gap]:
-        return (gap,)
-
-    def pair(g: int, taken: int = 0) -> tuple[int, int] | None:
-        lo, hi = max(1, g - top), min(top, g - 1)
-        if lo > hi:
-            return None
-        half = (g + 1) // 2  # the larger of the two, from large to small
-        a = avail[half : hi + 1] > 0
-        b = avail[g - hi : g - half + 1][::-1] > 0
-        both = np.flatnonzero(a & b)
-        for k in both[::-1]:
-            x = half + int(k)
-            y = g - x
-            need = {x: 1}
-            need[y] = need.get(y, 0) + 1
-            if taken:
-                need[taken] = need.get(taken, 0) + 1
-            if all(avail[v] >= c for v, c in need.items()):
-                return x, y
-        return None
-
-    if p := pair(gap):
+class SumIndex:
+    """Single, pair and triple sums of the lengths there are, by sum.
+
+    An entry is found when its sum is first asked for, holds as long as its
+    lengths last, and is then looked for again among smaller ones: lengths only
+    get scarcer, so a sum that nothing makes is never looked for twice.
+    """
+
+    def __init__(self, avail: np.ndarray):
+        self.avail = avail
+        self.pairs: dict[int, tuple[int, int] | None] = {}
+        self.triples: dict[int, tuple[int, int, int] | None] = {}
+
+    def lasts(self, lengths: tuple[int, ...]) -> bool:
+        return all(self.avail[x] >= lengths.count(x) for x in lengths)
+
+    def find(self, total: int, top: int) -> tuple[int, ...] | None:
+        """One, two or three lengths of the sum ``total``, the largest first; ``top`` is the largest length there is."""
+        if total <= top and self.avail[total]:
+            return (total,)
+        return self.pair(total, top) or self.triple(total, top)
+
+    def pair(self, total: int, top: int) -> tuple[int, int] | None:
+        known = self.pairs.get(total, ())
+        if known is None or known and self.lasts(known):
+            return known
+        self.pairs[total] = p = next(self._pairs(total, top), None)
         return p
-    lengths = np.flatnonzero(avail[1 : min(top, gap - 2) + 1]) + 1
-    for x in lengths[::-1]:
-        if gap - int(x) > 2 * top:
-            break
-        if p := pair(gap - int(x), int(x)):
-            return (int(x), *p)
-    return None
+
+    def _pairs(self, total: int, top: int):
+        lo, hi = max(1, total - top), min(top, total - 1)
+        half = (total + 1) // 2  # the larger of the two, from large to small
+        if lo > hi or half > hi:
+            return
+        both = (self.avail[half : hi + 1] > 0) & (self.avail[total - hi : total - half + 1][::-1] > 0)
+        for k in np.flatnonzero(both)[::-1]:
+            x = half + int(k)
+            if x != total - x or self.avail[x] > 1:
+                yield x, total - x
+
+    def triple(self, total: int, top: int) -> tuple[int, int, int] | None:
+        known = self.triples.get(total, ())
+        if known is None or known and self.lasts(known):
+            return known
+        found = None
+        lengths = np.flatnonzero(self.avail[1 : min(top, total - 2) + 1]) + 1
+        for x in lengths[::-1].tolist():
+            if total - x > 2 * top:
+                break
+            p = self.pair(total - x, top)
+            if p and not self.lasts((x, *p)):
+                p = next((q for q in self._pairs(total - x, top) if self.lasts((x, *q))), None)
+            if p:
+                found = (x, *p)
+                break
+        self.triples[total] = found
+        return found
 
 
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -98,6 +127,7 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, list[tuple
     avail = np.zeros(capacity + 1, dtype=np.int64)
     for k, v in histogram.items():
         avail[k] = v
+    index = SumIndex(avail)
     out: list[tuple[int, list[tuple[int, int]]]] = []
     top = capacity
     while True:
@@ -117,8 +147,8 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, list[tuple
                 t -= 1
             if not t:
                 break
-            near = gap <= 3 * t
-            c = _complement(avail, gap, t) if near and used or gap == t else None
+            # no triple reaches further than three times the largest length
+            c = index.find(gap, t) if gap <= 3 * t and used or gap == t else None
             if c:
                 for x in c:
                     take(x)
@@ -159,8 +189,9 @@ def fill(documents: DataFrame, container_profile: DataFrame, vocabulary: str = V
             (F.col("piece_no") * F.col("cap")).alias("start_token"),
             F.least(F.col("cap"), F.col("n") - F.col("piece_no") * F.col("cap")).alias("n_tokens"),
         )
-        .withColumn("b", F.pmod(F.xxhash64("doc_id", "piece_no"), F.lit(BUCKETS)))
     )
+    n_items = items.agg(F.count(F.lit(1))).head()[0]
+    items = items.withColumn("b", F.pmod(F.xxhash64("doc_id", "piece_no"), F.lit(1 + n_items // GROUP_ROWS)))
     counts = checkpoint(items.where("n_tokens > 0").groupBy("profile_id", "n_tokens", "b").agg(F.count(F.lit(1)).alias("k")))
     # at most one row per profile and length
     hist: dict[int, dict[int, int]] = {}
@@ -175,22 +206,16 @@ def fill(documents: DataFrame, container_profile: DataFrame, vocabulary: str = V
                 runs.append((p, length, lo, lo + times * per, base, per))
                 at[length] = lo + times * per
             base += times
+    # at most a few rows per profile and length, as each pattern exhausts a length
     table = spark.createDataFrame(runs, "profile_id long, n_tokens long, lo long, hi long, base long, per long")
-    if len(runs) <= MOST_BROADCAST_ROWS:
-        table = F.broadcast(table)
-    before = counts.select(
-        "profile_id",
-        "n_tokens",
-        "b",
-        F.coalesce(F.sum("k").over(W.partitionBy("profile_id", "n_tokens").orderBy("b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"),
-    )
-    numbered = (
-        items.where("n_tokens > 0")
-        .withColumn("rn", F.row_number().over(W.partitionBy("profile_id", "n_tokens", "b").orderBy("doc_id", "piece_no")) - 1)
-        .join(before, ["profile_id", "n_tokens", "b"])
-        .withColumn("ix", F.col("rn") + F.col("before"))
+    before = counts.withColumn(
+        "before", F.coalesce(F.sum("k").over(W.partitionBy("profile_id", "n_tokens").orderBy("b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     )
-    placed = numbered.join(table, ["profile_id", "n_tokens"]).where("ix >= lo AND ix < hi")
+    # the part of the plan that falls to each sub-group
+    parts = before.join(table, ["profile_id", "n_tokens"]).where("lo < before + k AND hi > before").drop("k")
+    keys = ["profile_id", "n_tokens", "b"]
+    numbered = items.where("n_tokens > 0").withColumn("rn", F.row_number().over(W.partitionBy(*keys).orderBy("doc_id", "piece_no")) - 1)
+    placed = numbered.join(parts.hint("merge"), keys).withColumn("ix", F.col("rn") + F.col("before")).where("ix >= lo AND ix < hi")
     cols = ["profile_id", "container_id", "doc_id", "piece_no", "start_token", "n_tokens"]
     placed = placed.withColumn("container_id", F.col("base") + F.floor((F.col("ix") - F.col("lo")) / F.col("per"))).select(cols)
     empty = items.where("n_tokens <= 0").withColumn("container_id", F.lit(1).cast("long")).select(cols)

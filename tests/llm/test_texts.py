@@ -232,6 +232,42 @@ def test_fill(spark):
     assert containers.fill(d.limit(0), p).count() == 0 and containers.fill(d, p.limit(0)).count() == 0
 
 
+def test_sums_are_found_under_the_counts():
+    import numpy as np
+
+    rnd = random.Random(3)
+    for _ in range(200):
+        avail = np.array([0] + [rnd.choice((0, 0, 1, 2, 3)) for _ in range(20)])
+        index = containers.SumIndex(avail)
+        while avail.any():
+            top = int(np.flatnonzero(avail)[-1])
+            total = rnd.randint(1, 40)
+            n = range(1, top + 1)
+            ok = lambda c: all(avail[x] >= c.count(x) for x in c)
+            want = any(ok((x,)) for x in n if x == total) or any(ok((x, total - x)) for x in n if 1 <= total - x <= top) or any(ok((x, y, total - x - y)) for x in n for y in n if 1 <= total - x - y <= top)
+            got = index.find(total, top)
+            assert (got is not None) == want and (got is None or sum(got) == total and ok(got))
+            for x in got or (top,):
+                avail[x] -= 1
+
+
+def test_little_room_is_left(spark):
+    d, p = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "container_profile"))
+    for r in containers.usage(containers.fill(d, p), p).collect():
+        least = -(-r.n_tokens // r.capacity_tokens)
+        assert r.fullest <= r.capacity_tokens and r.n_containers <= 1.007 * least + 1
+
+
+def test_groups_of_any_size(spark, monkeypatch):
+    monkeypatch.setattr(containers, "GROUP_ROWS", 7)
+    sizes = spark.createDataFrame([(i, 10 if i % 3 else 1 + i % 9) for i in range(300)], "doc_id long, n_tokens long")
+    p = spark.createDataFrame([(1, 30)], "profile_id long, capacity_tokens int")
+    got = containers.fill(sizes, p, sizes=sizes)
+    assert got.count() == 300 and got.select("doc_id").distinct().count() == 300
+    u = containers.usage(got, p).head()
+    assert u.fullest <= 30 and u.n_containers <= -(-u.n_tokens // 30) + 1
+
+
 # --- languages
 
 
