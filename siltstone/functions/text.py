@@ -8,9 +8,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CONTEXT = 4
-
-
 def lines(text: Column) -> Column:
     r"""Lines split at ``\n``, trailing empty ones kept; an empty text is one empty line."""
     return F.split(text, "\n", -1)
@@ -22,20 +19,6 @@ def explode_lines(files: DataFrame, text: str = "text", keep: list[str] | None =
     return files.select(*cols, F.posexplode(lines(F.col(text))).alias("_pos", "line")).withColumn("line_no", F.col("_pos") + 1).drop("_pos")
 
 
-def explode_lines_in_context(files: DataFrame, keep: list[str], text: str = "text", around: int = CONTEXT) -> DataFrame:
-    """As ``explode_lines``, with ``ctx``: the lines up to ``around`` before and behind (linear in the text)."""
-    ls = F.col("_ls")
-    row = F.transform(
-        F.sequence(F.lit(1), F.size(ls)),
-        lambda i: F.struct(
-            i.alias("line_no"),
-            F.element_at(ls, i).alias("line"),
-            F.slice(ls, F.greatest(F.lit(1), i - around), F.least(i + around, F.size(ls)) - F.greatest(F.lit(1), i - around) + 1).alias("ctx"),
-        ),
-    )
-    return pinned(files, "_ls", lines(F.col(text))).select(*keep, F.explode(row).alias("_r")).select(*keep, "_r.line_no", "_r.line", "_r.ctx")
-
-
 def fence_ranges(ls: Column) -> Column:
     """``array<struct<a,b>>`` of fenced blocks: a closing fence has its opener's character; an unclosed one ranges nowhere."""
     zero = F.struct(
@@ -64,20 +47,45 @@ def front_matter_end(ls: Column, most: int = 100) -> Column:
     return F.when((F.trim(F.regexp_replace(F.element_at(ls, 1), r"\r$", "")) == "---") & (at > 0), at.cast("int") + 1).otherwise(0)
 
 
+FEW_CHARACTERS = 256
+
+
 def entropy(text: Column) -> Column:
     """Shannon entropy in bits over code points, rounded to 4 places; 0 for an empty text, null for null.
 
-    For each distinct character the text is shortened by it once, which takes
-    byte searches only and no map or sorted copy of the text.
+    With few distinct characters the text is shortened by each of them once,
+    which takes byte searches only; with many (Chinese, say) its characters are
+    sorted and their runs counted.
     """
-    chars = F.array_distinct(F.filter(F.split(text, ""), lambda c: c != ""))
+    every = F.filter(F.split(text, ""), lambda c: c != "")
+    chars = F.array_distinct(every)
     n = F.length(text).cast("double")
 
     def part(acc: Column, c: Column) -> Column:
         k = (F.octet_length(text) - F.octet_length(F.replace(text, c, F.lit("")))) / F.octet_length(c)
         return acc + k * F.log2(k)
 
-    return F.when(text.isNull(), None).when(F.length(text) == 0, 0.0).otherwise(F.round(F.log2(n) - F.aggregate(chars, F.lit(0.0), part) / n, 4))
+    def run(acc: Column, c: Column) -> Column:
+        same = acc["c"] == c
+        k = F.when(same, acc["k"]).otherwise(0.0)
+        return F.struct(c.alias("c"), (k + 1).alias("k"), (acc["s"] + (k + 1) * F.log2(k + 1) - F.when(k > 0, k * F.log2(k)).otherwise(0.0)).alias("s"))
+
+    by_runs = F.aggregate(F.sort_array(every), F.struct(F.lit("").alias("c"), F.lit(0.0).alias("k"), F.lit(0.0).alias("s")), run)["s"]
+    total = F.when(F.size(chars) <= FEW_CHARACTERS, F.aggregate(chars, F.lit(0.0), part)).otherwise(by_runs)
+    return F.when(text.isNull(), None).when(F.length(text) == 0, 0.0).otherwise(F.round(F.log2(n) - total / n, 4))
+
+
+def byte_entropy(content: Column) -> Column:
+    """Shannon entropy in bits over bytes, rounded to 4 places; 0 for no bytes, null for null."""
+    pairs = F.regexp_replace(F.hex(content), "(..)", "$1 ")
+    n = F.octet_length(content).cast("double")
+    values = F.sequence(F.lit(0), F.lit(255))
+
+    def part(acc: Column, b: Column) -> Column:
+        k = (F.length(pairs) - F.length(F.replace(pairs, F.concat(F.lpad(F.hex(b), 2, "0"), F.lit(" ")), F.lit("")))) / 3
+        return acc + F.when(k > 0, k * F.log2(k)).otherwise(0.0)
+
+    return F.when(content.isNull(), None).when(n == 0, 0.0).otherwise(F.round(F.log2(n) - F.aggregate(values, F.lit(0.0), part) / n, 4))
 
 
 def any_contains(text: Column, words: list[str]) -> Column:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.functions.text import explode_lines, pinned, tagged
+from siltstone.functions.text import explode_lines, lines, pinned, tagged
 from siltstone.rules import packs
 from siltstone.rules.fold import JAVA, any_of, first_hit, folded, gate, pick
 from siltstone.sources.packages import for_engine
@@ -20,30 +20,50 @@ def either(cs: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, cs)
 
 
-def first_per_line(f: DataFrame, rules: list[tuple[str, str]], skip: Column | None = None) -> DataFrame:
-    """``file_id, pkg_id, line_no, label``: the first of the ordered patterns on each line."""
-    pats = [p for _, p in rules]
+def first_per_line(f: DataFrame, rules: list[tuple[str, str]], skip: Column | None = None, keep: list[str] | None = None) -> DataFrame:
+    """``file_id, pkg_id, keep, line_no, label``: the first of the ordered patterns on each line."""
+    pats, keep = [p for _, p in rules], keep or []
     src = pinned(f, "_low", folded(F.col("text"))).where(F.size(gate("_low", pats)) > 0)
-    rows = explode_lines(src.select("file_id", "pkg_id", "text"))
+    rows = explode_lines(src.select("file_id", "pkg_id", *keep, "text"))
     if skip is not None:
         rows = rows.where(~skip)
     rows = pinned(rows, "ix", first_hit("line", pats)).where("ix IS NOT NULL")
-    return rows.select("file_id", "pkg_id", "line_no", pick([n for n, _ in rules], "ix").alias("label"))
+    return rows.select("file_id", "pkg_id", *keep, "line_no", pick([n for n, _ in rules], "ix").alias("label"))
 
 
 def hook_findings(f: DataFrame) -> DataFrame:
     """Install-hook patterns, first per line that isn't a comment: HOOK_020 in hook files, HOOK_040 elsewhere."""
-    src = for_engine(f, "hooks")
-    hit = first_per_line(src, packs.HOOKS, F.trim(F.col("line")).startswith("#"))
-    named = src.select("file_id", F.lower("name").isin(*HOOK_FILES).alias("is_hook_file"))
-    h = hit.join(named, "file_id")
+    src = for_engine(f, "hooks").withColumn("is_hook_file", F.lower("name").isin(*HOOK_FILES))
+    h = first_per_line(src, packs.HOOKS, F.trim(F.col("line")).startswith("#"), ["is_hook_file"])
     return h.select("file_id", "pkg_id", "line_no", "label", F.when(F.col("is_hook_file"), "HOOK_020").otherwise("HOOK_040").alias("rule_id"), F.when(F.col("is_hook_file"), "HIGH").otherwise("MEDIUM").alias("severity"))
 
 
+def manifest_hooks(f: DataFrame) -> DataFrame:
+    """``file_id, pkg_id, line_no, rule_id, severity``: what setup.py (by line) and pyproject.toml (line 0) run at build or install.
+
+    HOOK_001 replaced commands, HOOK_002 an install class of its own, HOOK_003
+    console scripts; HOOK_030 a build backend, HOOK_031 a table of commands.
+    """
+    n = F.lower("name")
+    s = F.trim("line")
+    hit = lambda *cs: F.array_compact(F.array(*[F.when(c, F.struct(F.lit(i).alias("rule_id"), F.lit(v).alias("severity"))) for i, v, c in cs]))
+    setup = explode_lines(f.where(n == "setup.py").select("file_id", "pkg_id", "text"))
+    setup = setup.select("file_id", "pkg_id", "line_no", F.explode(hit(
+        ("HOOK_001", "HIGH", s.contains("cmdclass") & (s.contains("install") | s.contains("build"))),
+        ("HOOK_002", "HIGH", s.rlike(JAVA + r"class\s+\w+\(.*install\)")),
+        ("HOOK_003", "MEDIUM", s.contains("entry_points") & s.contains("console_scripts")),
+    )).alias("h"))
+    t = F.col("text")
+    project = f.where(n == "pyproject.toml").select("file_id", "pkg_id", F.lit(0).alias("line_no"), F.explode(hit(
+        ("HOOK_030", "MEDIUM", t.rlike(r"build-backend\s*=")), ("HOOK_031", "HIGH", t.contains("[tool.setuptools.cmdclass]")),
+    )).alias("h"))
+    return setup.unionByName(project).select("file_id", "pkg_id", "line_no", "h.rule_id", "h.severity")
+
+
 def package_json_hooks(f: DataFrame) -> DataFrame:
     """Scripts of package.json run at install: an additive danger score and its severity; safe installers don't count."""
     scripts = F.from_json("text", "scripts map<string,string>")["scripts"]
-    s = f.where(F.lower("name") == "package.json").select("file_id", F.explode(scripts).alias("hook", "command"))
+    s = f.where(F.lower("name") == "package.json").select("file_id", "pkg_id", F.explode(scripts).alias("hook", "command"))
     s = s.where(F.col("hook").isin("preinstall", "install", "postinstall", "prepare", "prepublish") & ~F.col("command").rlike(SAFE_INSTALLER))
     parts = [(r"(?i)curl|wget|http", 2), (r"(?i)\bsh\b|bash|powershell", 2), (r"(?i)eval|exec|base64", 3), (r"(?i)token|secret|password|\.ssh|\.aws", 2)]
     s = s.withColumn("score", reduce(lambda a, b: a + b, [F.when(F.col("command").rlike(p), w).otherwise(0) for p, w in parts]))
@@ -93,13 +113,28 @@ TRUSTED = any_of([t.replace(".", r"\.") for t in packs.TRUSTED])
 
 
 def network_lines(f: DataFrame) -> DataFrame:
-    """Exfiltration (trusted domains aside), covert channels and command-and-control lines, each family's first pattern per line; whole-text patterns only for files without such a line."""
+    """``file_id, pkg_id, line_no, family, label, severity``: exfiltration (trusted domains aside), covert channels and
+    command-and-control lines, each family's first pattern per line; whole-text patterns only for files without a line of the last.
+
+    All families are looked for in one pass over the lines.
+    """
     src = for_engine(f, "network")
-    fam = lambda rules, name, sev, skip=None: first_per_line(src, rules, skip).select("file_id", "line_no", F.lit(name).alias("family"), "label", F.lit(sev).alias("severity"))
-    c2 = fam(packs.C2, "c2", "CRITICAL")
-    multi = src.join(c2.select("file_id").distinct(), "file_id", "left_anti").withColumn("ix", first_hit("text", [p for _, p in packs.C2_MULTI], "(?iu)")).where("ix IS NOT NULL")
-    multi = multi.select("file_id", F.lit(0).alias("line_no"), F.lit("c2_multi").alias("family"), pick([n for n, _ in packs.C2_MULTI], "ix").alias("label"), F.lit("CRITICAL").alias("severity"))
-    return fam(packs.EXFIL, "exfil", "HIGH", F.lower("line").rlike(TRUSTED)).unionByName(fam(packs.COVERT, "covert", "HIGH")).unionByName(c2).unionByName(multi)
+    families = [("exfil", packs.EXFIL, "HIGH", ~F.lower("line").rlike(TRUSTED)), ("covert", packs.COVERT, "HIGH", None), ("c2", packs.C2, "CRITICAL", None)]
+    every = [p for _, rules, _, _ in families for _, p in rules]
+    low = pinned(src, "_low", folded(F.col("text"))).where(F.size(gate("_low", every)) > 0)
+    rows = explode_lines(low.select("file_id", "pkg_id", "text"))
+    for name, rules, _, ok in families:
+        ix = first_hit("line", [p for _, p in rules])
+        rows = pinned(rows, name, ix if ok is None else F.when(ok, ix))
+    found = F.array_compact(F.array(*[
+        F.when(F.col(name).isNotNull(), F.struct(F.lit(name).alias("family"), pick([n for n, _ in rules], name).alias("label"), F.lit(sev).alias("severity")))
+        for name, rules, sev, _ in families
+    ]))
+    rows = rows.select("file_id", "pkg_id", "line_no", F.explode(found).alias("h")).select("file_id", "pkg_id", "line_no", "h.*")
+    multi = src.withColumn("ix", first_hit("text", [p for _, p in packs.C2_MULTI], "(?iu)")).where("ix IS NOT NULL")
+    multi = multi.where(~F.exists(lines(F.col("text")), lambda x: x.rlike(JAVA + any_of([p for _, p in packs.C2]))))
+    multi = multi.select("file_id", "pkg_id", F.lit(0).alias("line_no"), F.lit("c2_multi").alias("family"), pick([n for n, _ in packs.C2_MULTI], "ix").alias("label"), F.lit("CRITICAL").alias("severity"))
+    return rows.unionByName(multi)
 
 
 # Places where credentials lie, and ways to send them.
@@ -113,10 +148,9 @@ THEFT_SEND = r"requests\.(?:post|put)|curl\s+.*(?:-d|--data|-F|-T)\b|fetch\(.*PO
 
 def credential_theft(f: DataFrame) -> DataFrame:
     """Lines that read stored credentials: HIGH, CRITICAL where the same file also sends data."""
-    src = f.where(F.col("ext").isin("py", "js", "mjs", "ts", "sh", "bash", "zsh", ""))
-    h = first_per_line(src, THEFT_READ)
-    sends = src.select("file_id", F.col("text").rlike(JAVA + THEFT_SEND).alias("sends"))
-    return h.join(sends, "file_id").select("file_id", "pkg_id", "line_no", F.col("label").alias("target"), F.when(F.col("sends"), "CRITICAL").otherwise("HIGH").alias("severity"))
+    src = f.where(F.col("ext").isin("py", "js", "mjs", "ts", "sh", "bash", "zsh", "")).withColumn("sends", F.col("text").rlike(JAVA + THEFT_SEND))
+    h = first_per_line(src, THEFT_READ, keep=["sends"])
+    return h.select("file_id", "pkg_id", "line_no", F.col("label").alias("target"), F.when(F.col("sends"), "CRITICAL").otherwise("HIGH").alias("severity"))
 
 
 # --- dependencies

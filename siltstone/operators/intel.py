@@ -75,34 +75,41 @@ def not_executable(line: Column) -> Column:
     return reduce(lambda a, b: a | b, clauses)
 
 
-def attack_patterns(f: DataFrame) -> DataFrame:
-    """``file_id, pattern_id, severity, indicator, line_no``: per file and pattern the first indicator in list order on its first line that acts.
+EXFIL_TYPE = ["config_exfiltration", "credential_harvesting", "webhook_exfiltration"]
 
-    Severity falls to INFO where a trusted domain meets an environment read in
-    the file, and for broad indicators to MEDIUM unless the file both reads
-    files and sends data.
-    """
+
+def downgraded(base: Column, trusted: Column, pattern_id: Column, indicator: Column, line: Column, reads: Column, sends: Column) -> Column:
+    """Severity in context, the first that holds: a trusted domain in the file and an environment read on the line; a trusted
+    domain and a pattern of exfiltration; a value taken from a parsed configuration; a broad indicator that counts a model's
+    tokens (all INFO), or that stands in a file that doesn't both read files and send (MEDIUM at most)."""
+    s = F.trim(F.regexp_replace(line, r"^\s+|\s+$", ""))
+    broad = indicator.isin(*packs.BROAD)
+    return (
+        F.when(trusted & s.rlike(any_of(packs.ENV_READ)), "INFO")
+        .when(trusted & pattern_id.isin(*EXFIL_TYPE), "INFO")
+        .when(s.rlike(packs.CONFIG_GET), F.when(any_contains(s, packs.CONFIG_SOURCE), "INFO").otherwise(base))
+        .when((indicator == "token") & s.rlike(JAVA + any_of(packs.MODEL_TOKENS)), "INFO")
+        .when(broad & ~(reads & sends) & base.isin("CRITICAL", "HIGH"), "MEDIUM")
+        .otherwise(base)
+    )
+
+
+def attack_patterns(f: DataFrame, trusted: list[str] = packs.TRUSTED) -> DataFrame:
+    """``file_id, pattern_id, severity, indicator, line_no``: per file and pattern the first indicator in list order on its first line that acts; severity in context (``downgraded``)."""
     lits = sorted({x.lower() for _, _, _, x in INDICATORS})
     src = pinned(f.where(~reference_json(F.col("name"))), "low", folded(F.col("text"))).where(any_contains(F.col("low"), lits))
     t = F.col("text")
-    flags = {
-        "trusted_env": any_contains(F.col("low"), packs.TRUSTED) & t.rlike(any_of(packs.ENV_READ)),
-        "reads_sends": t.rlike(r"open\(|readFile|read_text") & t.rlike(r"requests\.|fetch\(|urlopen|\.post\("),
-    }
+    flags = {"trusted": any_contains(F.col("low"), trusted), "reads": t.rlike(packs.READS_FILE), "sends": t.rlike(packs.SENDS)}
     rows = explode_lines(src.select("file_id", "text", *[c.alias(k) for k, c in flags.items()]))
     rows = pinned(rows, "_ll", folded(F.col("line")))
     low = F.col("_ll")
     ix = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(x.lower())), F.lit(k)) for k, (_, _, _, x) in enumerate(INDICATORS)]))
     rows = rows.where(any_contains(low, lits)).where(~rule_line(F.col("line")) & ~not_executable(F.col("line"))).withColumn("ix", F.explode(ix))
     pick = lambda k: F.element_at(F.array(*[F.lit(i[k]) for i in INDICATORS]), F.col("ix") + 1)
-    best = rows.withColumn("pattern_id", pick(0)).groupBy("file_id", "pattern_id").agg(
-        F.min(F.struct("ix", "line_no")).alias("b"), F.first("trusted_env").alias("trusted_env"), F.first("reads_sends").alias("reads_sends")
-    )
-    best = best.withColumn("ix", F.col("b.ix"))
-    base = pick(1)
-    broad = F.col("pattern_id").isin("credential_harvesting", "config_exfiltration")
-    sev = F.when(F.col("trusted_env"), "INFO").when(broad & ~F.col("reads_sends"), "MEDIUM").otherwise(base)
-    return best.select("file_id", "pattern_id", sev.alias("severity"), pick(3).alias("indicator"), F.col("b.line_no").alias("line_no"))
+    best = rows.withColumn("pattern_id", pick(0)).groupBy("file_id", "pattern_id").agg(F.min(F.struct("ix", "line_no", "line")).alias("b"), *[F.first(k).alias(k) for k in flags])
+    best = best.withColumn("ix", F.col("b.ix")).withColumn("indicator", pick(3))
+    sev = downgraded(pick(1), F.col("trusted"), F.col("pattern_id"), F.col("indicator"), F.col("b.line"), F.col("reads"), F.col("sends"))
+    return best.select("file_id", "pattern_id", sev.alias("severity"), "indicator", F.col("b.line_no").alias("line_no"))
 
 
 def ip_number(ip: Column) -> Column:

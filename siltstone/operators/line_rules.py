@@ -38,21 +38,18 @@ def line_hits(src: DataFrame, patterns: list[str], keep: list[str], context: int
     """``keep, ix, line_no, line`` of every hit, with ``ctx`` (lines around) where ``context`` asks for it.
 
     A file's lines are searched only with its candidate patterns, and lines
-    without a hit never become rows.
+    without a hit never become rows; a hit carries its own context, never the file.
     """
     x = pinned(src, "_ls", lines(F.col("text")))
     x = pinned(x, "_nl", F.transform("_ls", lambda v, i: F.struct((i + 1).alias("line_no"), v.alias("line"))))
 
+    ctx = f", 'ctx', slice(_ls, greatest(1, r.line_no - {context}), least(r.line_no + {context}, size(_ls)) - greatest(1, r.line_no - {context}) + 1)" if context else ""
     found = [
-        f"CASE WHEN array_contains(cand, {k}) THEN transform(filter(_nl, r -> rlike(r.line, {literal(flags + p)})), r -> named_struct('ix', {k}, 'line_no', r.line_no, 'line', r.line)) END"
+        f"CASE WHEN array_contains(cand, {k}) THEN transform(filter(_nl, r -> rlike(r.line, {literal(flags + p)})), r -> named_struct('ix', {k}, 'line_no', r.line_no, 'line', r.line{ctx})) END"
         for k, p in enumerate(patterns)
     ]
     per = F.flatten(F.expr(f"array_compact(array({', '.join(found)}))"))
-    x = x.select(*keep, *(["_ls"] if context else []), F.explode(per).alias("_h")).select(*keep, *(["_ls"] if context else []), "_h.*")
-    if context:
-        first = F.greatest(F.lit(1), F.col("line_no") - context)
-        x = x.withColumn("ctx", F.slice("_ls", first, F.least(F.col("line_no") + context, F.size("_ls")) - first + 1)).drop("_ls")
-    return x
+    return x.select(*keep, F.explode(per).alias("_h")).select(*keep, "_h.*")
 
 
 def static_hits(f: DataFrame, context: bool = False) -> DataFrame:
@@ -101,7 +98,7 @@ def exempt() -> Column:
     """Hardening commands, comments, and files that name themselves scanners."""
     s = F.trim("line")
     shell = F.col("ext").isin(*SHELL) & (s.rlike(r"^chmod\s+[017][0-7]{2}\s+") | s.startswith("chown ") | s.startswith("sudo chown "))
-    return shell | s.startswith("#") | s.startswith("//") | F.lower("name").rlike("scanner|analyzer|detector|audit|security")
+    return shell | s.startswith("#") | s.startswith("//") | security_tool(F.col("name"))
 
 
 def static_findings(f: DataFrame) -> DataFrame:
@@ -120,23 +117,24 @@ def evidence(most: int = 600) -> Column:
     return F.substring(F.array_join(F.transform("ctx", lambda x, i: F.concat_ws(": ", (first + i).cast("string"), x)), "\n"), 1, most)
 
 
-def signature_findings(f: DataFrame) -> DataFrame:
+def signature_findings(f: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Case-sensitive signatures by file type; an exclude pattern on the line silences its rule; first per rule, file and line."""
     rules = packs.SIGNATURES
     pats = [p[3] for p in SIG_PATTERNS]
     kind = F.when(F.col("ext").isin("sh", "bash", "zsh"), "sh").when(F.col("ext").isin("js", "mjs"), "js").otherwise(F.col("ext"))
     src = f.withColumn("kind", kind).where(F.col("kind").isin("py", "js", "ts", "sh"))
     src = candidates(src, pats)
-    rows = line_hits(src, pats, ["file_id", "pkg_id", "rel_path", "kind"], flags="(?d)")
+    keep = keep or []
+    rows = line_hits(src, pats, ["file_id", "pkg_id", "rel_path", "kind", *keep], flags="(?d)")
     rule_of = [n for n, r in enumerate(rules) for _ in r[4]]
     rows = rows.withColumn("rule", pick(rule_of, "ix"))
     ok = reduce(
         lambda a, b: a | b,
         [(F.col("rule") == n) & F.col("kind").isin(*r[3]) & ~F.col("line").rlike("(?d)" + any_of(r[5])) for n, r in enumerate(rules)],
     )
-    rows = rows.where(ok).groupBy("file_id", "pkg_id", "rel_path", "line_no", "rule").agg(F.count(F.lit(1)).alias("n_patterns"))
+    rows = rows.where(ok).groupBy("file_id", "pkg_id", "rel_path", "line_no", "rule", *keep).agg(F.count(F.lit(1)).alias("n_patterns"))
     return rows.select(
-        "file_id", "pkg_id", "rel_path", "line_no",
+        "file_id", "pkg_id", "rel_path", "line_no", *keep,
         *[pick([r[k] for r in rules], "rule").alias(n) for k, n in ((0, "rule_id"), (1, "category"), (2, "severity"))],
     )
 
@@ -144,10 +142,10 @@ def signature_findings(f: DataFrame) -> DataFrame:
 TRUSTED_LINE = any_of([t.replace(".", r"\.") for t in packs.TRUSTED])
 
 
-def trusted_suppression(found: DataFrame, f: DataFrame) -> DataFrame:
-    """Drop EXFIL findings of files that name a trusted domain and an authorization word."""
-    t = f.select("file_id", (F.lower("text").rlike(TRUSTED_LINE) & F.lower("text").rlike("authorization|api_key|bearer")).alias("trusted"))
-    return found.join(t, "file_id").where(~(F.col("trusted") & F.col("rule_id").startswith("EXFIL"))).drop("trusted")
+def trusted_suppression(f: DataFrame) -> DataFrame:
+    """Signature findings without the EXFIL ones of files that name a trusted domain and an authorization word."""
+    t = f.withColumn("trusted", F.lower("text").rlike(TRUSTED_LINE) & F.lower("text").rlike("authorization|api_key|bearer"))
+    return signature_findings(t, ["trusted"]).where(~(F.col("trusted") & F.col("rule_id").startswith("EXFIL"))).drop("trusted")
 
 
 #: Category, severity, pattern and place in scan order; the number here is the pattern_ix.
@@ -182,8 +180,19 @@ def document_findings(f: DataFrame) -> DataFrame:
     )
 
 
-def probe_hits(f: DataFrame) -> DataFrame:
-    """Prompt probes over whole texts: ``file_id, pkg_id, rule_id, category, severity, matched`` for each occurrence."""
+def security_tool(name: Column) -> Column:
+    """Whether a file's name is that of a security tool."""
+    return F.lower(name).rlike("scanner|analyzer|detector|audit|security")
+
+
+def probe_hits(f: DataFrame, skip_rule_lines: bool = False) -> DataFrame:
+    """Prompt probes over whole texts: ``file_id, pkg_id, rule_id, category, severity, matched`` for each occurrence.
+
+    ``skip_rule_lines`` blanks the lines of security tools' files that define rules.
+    """
+    if skip_rule_lines:
+        code = F.array_join(F.transform(lines(F.col("text")), lambda x: F.when(F.trim(x).rlike(JAVA + any_of(packs.RULE_LINE)), "").otherwise(x)), "\n")
+        f = f.withColumn("text", F.when(security_tool(F.col("name")), code).otherwise(F.col("text")))
     pats = [p[3] for p in packs.PROBES]
     src = candidates(for_engine(f, "probes"), pats)
     per = [

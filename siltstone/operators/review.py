@@ -64,10 +64,11 @@ def reasoning_leak(title: Column, text: Column, evidence: Column) -> Column:
 def negative_examples(finding: DataFrame, skill_file: DataFrame, around: int = 10) -> DataFrame:
     """``finding_id, is_negative``: whether the lines around a finding warn against what they show. Of repeated files the first counts."""
     f = finding.where("line_number IS NOT NULL AND file_path IS NOT NULL").select("finding_id", "skill_name", clean_path(F.col("file_path"), True).alias("path"), "line_number")
-    s = skill_file.groupBy("skill_name", "path").agg(F.min_by("content", "file_id").alias("content"))
-    first = F.greatest(F.lit(1), F.col("line_number") - around)
-    ctx = F.array_join(F.slice(lines(F.col("content")), first, F.greatest(F.lit(0), F.col("line_number") + around - first + 1)), "\n")
-    return f.join(s, ["skill_name", "path"]).select("finding_id", ctx.rlike(NEGATIVE).alias("is_negative"))
+    # only the numbers of the lines that warn leave the scan, never a text
+    warns = F.filter(F.transform(lines(F.col("content")), lambda x, i: F.when(x.rlike(NEGATIVE), i + 1)), lambda n: n.isNotNull())
+    s = skill_file.select("skill_name", "path", "file_id", warns.alias("warns")).groupBy("skill_name", "path").agg(F.min_by("warns", "file_id").alias("warns"))
+    n = F.col("line_number")
+    return f.join(s, ["skill_name", "path"]).select("finding_id", F.exists("warns", lambda w: w.between(n - around, n + around)).alias("is_negative"))
 
 
 def batches(f: DataFrame, threshold: str = "MEDIUM", size: int = 20) -> DataFrame:

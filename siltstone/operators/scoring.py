@@ -152,7 +152,7 @@ def maximal(strings: DataFrame, key: str = "file_id", col: str = "decoded", leas
 
 
 def verdicts(f: DataFrame, self_root: str | None = None) -> DataFrame:
-    """``verdict, confidence, reason`` for each finding: self reference, true-positive marks, false-positive groups in order, source defaults."""
+    """``verdict, confidence, reason`` for each finding: self reference (below ``self_root``), true-positive marks, a security tool's own tree, the other false-positive groups in order, source defaults."""
     text = F.concat_ws("\n", "title", "description", F.coalesce("evidence", F.lit("")))
     path = F.coalesce("file_path", F.lit(""))
     v = lambda verdict, conf, why: F.struct(F.lit(verdict).alias("verdict"), F.lit(float(conf)).alias("confidence"), F.lit(why).alias("reason"))
@@ -160,6 +160,8 @@ def verdicts(f: DataFrame, self_root: str | None = None) -> DataFrame:
     if self_root:
         steps.append(F.when(path.startswith(self_root), v("FP", 0.98, "self_reference")))
     steps.append(F.when(text.rlike(JAVA + any_of(packs.TRUE_POSITIVE)), v("TP", 0.90, "true_positive")))
+    name, file_p, content_p, conf = packs.SELF_REFERENCE
+    steps.append(F.when(path.rlike(JAVA + file_p), F.when(text.rlike(JAVA + content_p), v("FP", conf, name)).otherwise(v("FP", conf * 0.85, name))))
     for name, file_p, content_p, conf in packs.FALSE_POSITIVE:
         steps.append(F.when(path.rlike(JAVA + file_p) & text.rlike(JAVA + content_p), v("FP", conf, name)))
     steps.append(F.when(F.col("source") == "entropy", v("UNCERTAIN", 0.3, "entropy")))

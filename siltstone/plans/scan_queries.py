@@ -188,11 +188,13 @@ _CLAUSES = [
 @query(
     f"""WITH {PUT}, {LINES}, {values("ind", ["pattern_id", "severity", "ord", "indicator", "ix"], [(*i, k) for k, i in enumerate(intel.INDICATORS)])},
  ok AS (SELECT l.* FROM lines l WHERE NOT {REFERENCE} AND NOT {m('trim(line)', any_of(packs.RULE_LINE))} AND NOT ({" OR ".join(f"({c})" for c in _CLAUSES)})),
- best AS (SELECT file_id, pattern_id, min((ix, line_no)) AS b FROM ok JOIN ind ON contains(lower(line), lower(indicator)) GROUP BY 1, 2),
- flags AS (SELECT file_id, {_TRUST.format('text')} AND {m('text', any_of(packs.ENV_READ), 'c')} AS trusted_env,
-  {m('text', r'open\(|readFile|read_text', 'c')} AND {m('text', r'requests\.|fetch\(|urlopen|\.post\(', 'c')} AS reads_sends FROM files)
- SELECT file_id, b.pattern_id, CASE WHEN trusted_env THEN 'INFO' WHEN b.pattern_id IN ('credential_harvesting', 'config_exfiltration') AND NOT reads_sends THEN 'MEDIUM' ELSE i.severity END AS severity,
-  i.indicator, struct_extract(b.b, 2)::INT AS line_no FROM best b JOIN ind i ON i.ix = struct_extract(b.b, 1) JOIN flags USING (file_id)"""
+ best AS (SELECT file_id, pattern_id, min((ix, line_no, line)) AS b FROM ok JOIN ind ON contains(lower(line), lower(indicator)) GROUP BY 1, 2),
+ flags AS (SELECT file_id, {_TRUST.format('text')} AS trusted, {m('text', packs.READS_FILE, 'c')} AND {m('text', packs.SENDS, 'c')} AS rs FROM files),
+ x AS (SELECT file_id, b.pattern_id, i.severity, i.indicator, struct_extract(b.b, 2)::INT AS line_no, {_T.replace('line', 'struct_extract(b.b, 3)')} AS t, trusted, rs FROM best b JOIN ind i ON i.ix = struct_extract(b.b, 1) JOIN flags USING (file_id))
+ SELECT file_id, pattern_id, CASE WHEN trusted AND {m('t', any_of(packs.ENV_READ), 'c')} OR trusted AND pattern_id IN {inlist(intel.EXFIL_TYPE)} THEN 'INFO'
+  WHEN {m('t', packs.CONFIG_GET, 'c')} THEN CASE WHEN {" OR ".join(f"contains(t, {quote(c)})" for c in packs.CONFIG_SOURCE)} THEN 'INFO' ELSE severity END
+  WHEN indicator = 'token' AND {m('t', any_of(packs.MODEL_TOKENS))} THEN 'INFO' WHEN indicator IN {inlist(packs.BROAD)} AND NOT rs AND severity IN ('CRITICAL', 'HIGH') THEN 'MEDIUM' ELSE severity END AS severity,
+  indicator, line_no FROM x"""
 )
 def o024_attack_patterns(s: SparkSession, d: str) -> DataFrame:
     return intel.attack_patterns(_put(s, d))
@@ -307,7 +309,7 @@ def o040_signatures(s: SparkSession, d: str) -> DataFrame:
 )
 def o041_trusted_suppression(s: SparkSession, d: str) -> DataFrame:
     f = _put(s, d)
-    return line_rules.trusted_suppression(line_rules.signature_findings(f), f).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
+    return line_rules.trusted_suppression(f).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 DOCS = f"""{values("pats", ["category", "severity", "ix"], [(p[0], p[1], k) for k, p in enumerate(packs.DOCUMENT)])},
@@ -481,7 +483,7 @@ def o102_endpoint_risks(s: SparkSession, d: str) -> DataFrame:
  UNION ALL SELECT file_id, line_no, 'c2', label, 'CRITICAL' FROM c WHERE label IS NOT NULL UNION ALL SELECT file_id, 0, 'c2_multi', label, 'CRITICAL' FROM mm WHERE label IS NOT NULL"""
 )
 def o103_network_lines(s: SparkSession, d: str) -> DataFrame:
-    return behaviour.network_lines(_put(s, d))
+    return behaviour.network_lines(_put(s, d)).drop("pkg_id")
 
 
 @query(
@@ -578,7 +580,7 @@ def o177_statistics(s: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""WITH {FOUND}, t AS (SELECT *, title || chr(10) || description || chr(10) || '' AS text, coalesce(file_path, '') AS p FROM found)
- SELECT CASE WHEN {m('text', any_of(packs.TRUE_POSITIVE))} THEN 'true_positive' {" ".join(f"WHEN {m('p', a)} AND {m('text', b)} THEN {quote(n)}" for n, a, b, _ in packs.FALSE_POSITIVE)}
+ SELECT CASE WHEN {m('text', any_of(packs.TRUE_POSITIVE))} THEN 'true_positive' WHEN {m('p', packs.SELF_REFERENCE[1])} THEN 'security_tool_self_reference' {" ".join(f"WHEN {m('p', a)} AND {m('text', b)} THEN {quote(n)}" for n, a, b, _ in packs.FALSE_POSITIVE)}
   WHEN source = 'entropy' THEN 'entropy' ELSE 'default' END AS reason, count(*) AS n FROM t GROUP BY 1"""
 )
 def o120_verdicts(s: SparkSession, d: str) -> DataFrame:

@@ -43,7 +43,7 @@ STATIC = [
     ("SKILLJECT_001", "skill_injection", "CRITICAL", "CWE-78", [r"(?:chmod\s+\+x|\.\/.*\.(?:sh|py)|subprocess\.(?:call|run|Popen)|os\.system|(?<![a-zA-Z0-9_])exec\()"]),
     ("SKILLJECT_002", "skill_injection", "HIGH", "CWE-94", [r"(?:ignore\s+(?:all|previous|prior)\s+(?:instructions?|rules?|prompts?)|you\s+are\s+(?:now|no\s+longer)|override\s+(?:system|default)\s+(?:prompt|behavior))"]),
     ("SUPPLY_001", "supply_chain", "HIGH", "CWE-829", [r"pip\s+install\s+.*--index-url", r"npm\s+install\s+.*--registry", r"pip\s+install\s+-e\s+git\+", r"requirements\.txt.*http"]),
-    ("SUPPLY_002", "supply_chain", "HIGH", "CWE-506", [r"post_install|postinstall|after_install", r"setup\(.*install_requires", r"\"entry_points.*console_scripts\""]),
+    ("SUPPLY_002", "supply_chain", "HIGH", "CWE-506", [r"post_install|postinstall|after_install", r"setup\(.*install_requires", r"entry_points.*console_scripts"]),
     ("SUPPLY_003", "supply_chain", "CRITICAL", "CWE-829", [r"(?:requets|python-dateutil2|urrlib3|requestss|jason|djago|flaskk|numpyyy)"]),
     ("TIMEBOMB_001", "time_bomb", "HIGH", "CWE-829", [r"datetime\.(?:now|today)\(\).*>=", r"time\.time\(\).*>\s*\d{10}", r"if\s+date.*==.*['\"](?:20\d{2}|0[1-9]/)", r"scheduled.*execution|delayed.*payload"]),
     ("TIMEBOMB_002", "time_bomb", "MEDIUM", "CWE-829", [r"time\.sleep\s*\(\s*[1-9]\d{2,}\s*\)", r"(?<!req\.)setTimeout\(.*\d{5,}(?!.*(?:timeout|Timeout))", r"sleep\s+[1-9]\d{2,}"]),
@@ -236,14 +236,27 @@ INDICATORS = [
     ("reverse_shell", "CRITICAL", ["/dev/tcp/", "bash -i", "nc -e", "reverse shell", "backdoor"]),
     ("credential_harvesting", "HIGH", [".env", "password", "secret", "token", "API_KEY", "private_key"]),
     ("config_exfiltration", "CRITICAL", ["readFile", "fetch(", ".post(", "webhook", "exfil", "CONTEXT_PATH"]),
+    ("typosquatting", "CRITICAL", ["clawhub", "clawdhub", "clawwhub", "cllawhub"]),
     ("hidden_backdoor", "CRITICAL", ["background process", "cron job", ".bashrc modification", "reverse shell"]),
     ("prompt_injection", "HIGH", ["ignore previous instructions", "you are now", "system prompt override"]),
+    ("social_engineering", "HIGH", ["google-workspace", "phantom", "polymarket", "bybit", "yahoo-finance"]),
     ("osascript_password_phishing", "CRITICAL", ["osascript -e", "display dialog", "with hidden answer", "System Preferences", "needs your password"]),
     ("browser_data_theft", "CRITICAL", ["localStorage.getItem", "sessionStorage.getItem", "document.cookie", "document.body.innerText", "Login Data", "logins.json", "key4.db"]),
     ("webhook_exfiltration", "CRITICAL", ["webhook.site", "discord.com/api/webhooks", "discordapp.com/api/webhooks", "api.telegram.org/bot"]),
+    ("nova_stealer_c2", "CRITICAL", ["socifiapp.com", "dyrtvwjfveyxjf23", "0xc35547640e63f941", "jhzhhfomng"]),
 ]
-IOC = ["91.92.242.30", "95.92.242.30", "96.92.242.30", "202.161.50.59", "54.91.154.110", "glot.io", "rentry.co", "pastebin.com", "webhook.site"]
+IOC = ["91.92.242.30", "95.92.242.30", "96.92.242.30", "202.161.50.59", "54.91.154.110", "glot.io", "rentry.co", "pastebin.com", "webhook.site", "socifiapp.com"]
+# Domains that count as trusted; operators take another list as a parameter.
 TRUSTED = ["googleapis.com", "github.com", "openai.com", "amazonaws.com", "azure.com", "microsoft.com", "localhost", "127.0.0.1", "0.0.0.0"]
+# Indicators too broad to stand alone, words about language-model tokens, and what reads a parsed configuration.
+BROAD = [".env", "password", "secret", "token", "API_KEY"]
+MODEL_TOKENS = [
+    r"\d+\s*[KkMm]?\s*tokens?", r"token.*\d+[KkMm+]", r"\d+[KkMm+].*token", r"total_tokens|prompt_tokens|completion_tokens", r"token_usage|token_count|token_savings|estimated_tokens", r"_tokens[\"\s:]", r"tokenize",
+    r"Token\s*节[省耗]", r"\"token\"\s*\|", r"\|\s*Token\b", r"max_tokens|budget_tokens|min_tokens|top_tokens", r"\btime_seconds,\s*tokens,\s*tool_calls", r"\btokens,\s*tool_calls", r"_tokens\"",
+]
+CONFIG_GET = r"\.get\(['\"]\w+_?(?:secret|token|key|api|id)['\"]"
+CONFIG_SOURCE = ["json.loads", "json.load", "yaml.safe_load", "config[", "data[", "response["]
+READS_FILE, SENDS = r"(?:open|readFile|cat|fs\.read)", r"(?:requests\.|fetch\(|urllib|httpx|curl|wget)"
 ENV_READ = [r"os\.environ\.get\(", r"os\.environ\[", r"process\.env\.", r"getenv\(", r"get_env\(", r"System\.getenv", r"ENV\[", r"config\.from_env"]
 RULE_LINE = [
     r"\"?pattern\"?\s*[:=]", r"\"?regex\"?\s*[:=]", r"\"?indicator\"?\s*[:=]", r"\"?rule\"?\s*[:=]", r"\"name\"\s*:", r"\"description\"\s*:", r"\"severity\"\s*:",
@@ -266,7 +279,21 @@ TRUE_POSITIVE = [
     r"crontab\s+-[el].*(?:curl|wget|python|bash)", r"echo\s+.*>>.*(?:bashrc|zshrc|profile).*(?:curl|wget|python|bash)", r"launchctl\s+(?:load|start).*(?:curl|wget|python|bash)",
 ]
 # False-positive groups in order: name, file pattern, content pattern, confidence.
+# In the first one, of security tools' own trees, the file alone is enough for 0.85 of the confidence.
+# The domains of the last one are a choice of ours: an integration's own ones belong here.
+_OWN = r"(?:azure|amazonaws|googleapis)"
+ENTERPRISE = rf"(?:os\.environ|process\.env|getenv).*?{_OWN}|{_OWN}.*(?:os\.environ|process\.env|getenv)|(?:Authorization|access_token|api_key).*?{_OWN}|{_OWN}.*(?:Authorization|access_token|api_key)"
+SELF_REFERENCE = (
+    "security_tool_self_reference",
+    r"[/\\]lib$|[/\\]lib[/\\]|^lib/?$|scanner\.py|whitelist\.py|reporter\.py|models\.py|i18n/.*\.py|hooks/.*\.py|rules/.*\.yaml|rules/.*\.json|config/.*\.json|data/.*\.json|lib/.*_detector\.py|lib/.*_analyzer\.py|lib/.*_checker\.py",
+    r"(?:glot\.io|rentry\.co|pastebin\.com|webhook\.site)|(?:reverse.?shell|backdoor|exfiltrat|malicious)|(?:osascript|password|credential|ssh.*key)|(?:/dev/tcp|xmrig|cryptonight)|(?:patterns\s*:\s*\[|\"patterns\"\s*:\s*\[)"
+    r"|(?:rule_id.*severity|cwe\s*:)|(?:remediation\s*:|检测.*风险)|(?:已知.*恶意指标|IOC.*匹配|载荷托管域|C2 服务器)|(?:攻击模式匹配|Collects and exfiltrates|Manipulates agent)|(?:提示词注入|prompt.?injection|system.?override)"
+    r"|(?:localStorage|sessionStorage|Firefox.*登录)|(?:Discord Webhook|C2 通信特征|隐蔽信道)|(?:反向 Shell|Suspicious HTTP Request)|(?:curl POST|requests\.post.*外部 URL)|(?:忽略.*先前指令|forget.*previous)|(?:页面全文内容读取|document\.body\.innerText)",
+    0.98,
+)
 FALSE_POSITIVE = [
+    ("security_tool_rules", r"rules/.*\.yaml|rules/.*\.json|config/.*\.json|data/.*\.json", r"patterns\s*:\s*\[|\"patterns\"\s*:\s*\[|rule_id.*severity|cwe\s*:|remediation\s*:", 0.95),
+    ("reference_data", r"threat_intel\.json|baseline\.json|whitelist\.json|malicious.*\.json|ioc.*\.json|known_.*\.json", r"\"malicious_skills\"|\"ioc_domains\"|\"known_bad\"|\"attack_patterns\"|\"description\"\s*:\s*\"(?:known|malicious|suspicious)", 0.95),
     ("security_audit_scripts", r"audit\.py|check.*\.sh|security.*\.py|hardening.*\.sh|fix.*\.py|verify.*\.sh",
      r"check\s+(?:file\s+)?permissions|verify\s+configuration|audit\s+security|chmod\s+(?:700|600|500)|find\s+.*-name\s+[\"']\.env|ls\s+-la\s+\.ssh", 0.90),
     ("documentation_keywords", r"\.md$", r"^\s*[-*]\s+(?:detect|check|scan|prevent|protect)|^>\s+|^\s*###?\s+|\|.*\|.*\|", 0.85),
@@ -274,6 +301,7 @@ FALSE_POSITIVE = [
     ("echo_print_keywords", r"\.(?:sh|bash)$", r"(?:echo\s+|printf\s+|print_row).*(?:secret|token|password|key)", 0.80),
     ("test_files", r"test.*\.py|test.*\.sh|_test\.py|spec.*\.js|tests/", r"def\s+test_|assert\s+|mock\s+|@pytest\.fixture", 0.85),
     ("audit_report_text", r"report.*\.py|result.*\.py|output.*\.py", r"[\"']risk[\"']\s*:\s*[\"']|[\"']severity[\"']\s*:\s*[\"']|[\"']description[\"']\s*:\s*[\"']|generate.*report|format.*output", 0.85),
+    ("enterprise_api_integration", r"\.py$|\.js$|\.ts$", ENTERPRISE, 0.92),
 ]
 
 # Known vulnerable versions: package, advisory, affected below, safe from.
