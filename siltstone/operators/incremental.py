@@ -2,13 +2,15 @@
 
 Two surfaces. ``unseen_versions`` derives the manifest of processed versions
 from the noted runs and anti-joins the feed against it. ``IncrementalRun`` keeps
-a manifest table of its own and runs a job exactly once per version: claim,
-write under the batch id, then commit the manifest entry by one atomic rename.
+a manifest table of its own and runs a job exactly once per version: fix the batch,
+write under an id of its own, then commit that under the batch id, if absent.
 """
 
 from __future__ import annotations
 
 import json
+import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,11 +55,11 @@ def listing(file_hash: DataFrame) -> DataFrame:
 
 
 def manifest_of_runs(versions: DataFrame, runs: DataFrame) -> DataFrame:
-    """Versions that some successful run has seen: the manifest of processed inputs."""
+    """Versions that some successful run has seen, with checksum and size: the manifest of processed inputs."""
     return (
         versions.join(runs, "skill_path")
         .where(F.col("arrived") < F.col("started"))
-        .select(*VERSION)
+        .select(*VERSION, "size")
     )
 
 
@@ -81,38 +83,71 @@ def unseen_versions(file_hash: DataFrame, cache_entry: DataFrame) -> DataFrame:
 class IncrementalRun:
     """Exactly-once batches over a growing table, for a manifest in a shared folder.
 
-    Layout under ``root``: ``data/batch=<id>/`` results, ``manifest/batch=<id>/``
-    keys done, ``commits/<id>.json``. Only committed batches count. A run that
-    dies before its commit leaves files that the next run, having the same
-    batch id, overwrites; nothing is skipped or written twice.
+    Layout under ``root``: ``data/run=<id>/`` results and ``manifest/run=<id>/``
+    keys done, each written by one run only; ``commits/<batch>.json`` names the
+    run that made a batch. A commit is created if absent, so of two runs for
+    the same batch one wins and the other's files count for nothing, whenever
+    it dies or ends. ``snapshots/<batch>.json`` names a manifest that holds all
+    up to a batch (``compact``), so that a long history is read as one table.
     """
 
+    GRACE = 30  # seconds after which a commit without content counts as that of a dead run
+
     def __init__(self, spark: SparkSession, root: str, key: list[str]):
         self.spark, self.root, self.key = spark, root.rstrip("/"), key
         jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
+        self._path, self._io = jvm.org.apache.hadoop.fs.Path, jvm.org.apache.commons.io.IOUtils
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def committed(self) -> list[int]:
-        p = self._path(f"{self.root}/commits")
+    def _names(self, kind: str) -> dict[int, str]:
+        """Batch -> run of all commits (or snapshots)."""
+        p = self._path(f"{self.root}/{kind}")
         if not self._fs.exists(p):
-            return []
-        names = [s.getPath().getName() for s in self._fs.listStatus(p)]
-        return sorted(int(n[:-5]) for n in names if n.endswith(".json") and not n.startswith("."))
-
-    def _read(self, kind: str) -> DataFrame | None:
-        done = self.committed()
-        if not done:
-            return None
-        return self.spark.read.option("basePath", f"{self.root}/{kind}").parquet(
-            *[f"{self.root}/{kind}/batch={i}" for i in done]
-        )
+            return {}
+        out = {}
+        for s in self._fs.listStatus(p):
+            at = s.getPath()
+            if not at.getName().endswith(".json") or at.getName().startswith("."):
+                continue
+            end = time.time() + self.GRACE
+            while not (text := self._content(at)) and time.time() < end:
+                time.sleep(0.2)
+            if text:
+                out[int(at.getName()[:-5])] = json.loads(text)["run"]
+            else:
+                self._fs.delete(at, False)
+        return out
+
+    def _content(self, at) -> str:
+        i = self._fs.open(at)
+        try:
+            return self._io.toString(i, "UTF-8")
+        finally:
+            i.close()
+
+    def _create(self, kind: str, batch: int, run: str) -> None:
+        from py4j.protocol import Py4JJavaError
+
+        try:
+            out = self._fs.create(self._path(f"{self.root}/{kind}/{batch}.json"), False)
+        except Py4JJavaError as e:
+            raise RuntimeError(f"batch {batch} was committed by another run") from e
+        out.write(bytearray(json.dumps({"batch": batch, "run": run}).encode()))
+        out.close()
+
+    def committed(self) -> list[int]:
+        return sorted(self._names("commits"))
 
     def manifest(self) -> DataFrame | None:
-        return self._read("manifest")
+        done, short = self._names("commits"), self._names("snapshots")
+        upto = max(short, default=0)
+        runs = [short[upto]] if short else []
+        runs += [r for b, r in sorted(done.items()) if b > upto]
+        return self.spark.read.parquet(*[f"{self.root}/manifest/run={r}" for r in runs]) if runs else None
 
     def results(self) -> DataFrame | None:
-        return self._read("data")
+        runs = [r for _, r in sorted(self._names("commits").items())]
+        return self.spark.read.parquet(*[f"{self.root}/data/run={r}" for r in runs]) if runs else None
 
     def pending(self, listing: DataFrame) -> DataFrame:
         """Rows of ``listing`` (unique by key) that no committed batch holds."""
@@ -128,18 +163,17 @@ class IncrementalRun:
 
     def run(self, listing: DataFrame, job: Callable[[DataFrame], DataFrame]) -> int:
         """One batch over what is pending; returns its id."""
-        batch = (self.committed() or [0])[-1] + 1
-        todo_at = f"{self.root}/manifest/batch={batch}"
-        self.pending(listing).write.mode("overwrite").parquet(todo_at)  # fixes what this batch holds
-        todo = self.spark.read.schema(listing.schema).parquet(todo_at)
-        job(todo).write.mode("overwrite").parquet(f"{self.root}/data/batch={batch}")
-        self._commit(batch)
+        batch, run = max(self.committed(), default=0) + 1, uuid.uuid4().hex
+        todo_at = f"{self.root}/manifest/run={run}"
+        self.pending(listing).write.parquet(todo_at)  # fixes what this batch holds
+        job(self.spark.read.schema(listing.schema).parquet(todo_at)).write.parquet(f"{self.root}/data/run={run}")
+        self._create("commits", batch, run)
         return batch
 
-    def _commit(self, batch: int) -> None:
-        tmp, to = (self._path(f"{self.root}/commits/{n}") for n in (f".{batch}.tmp", f"{batch}.json"))
-        out = self._fs.create(tmp, True)
-        out.write(bytearray(json.dumps({"batch": batch}).encode()))
-        out.close()
-        if not self._fs.rename(tmp, to):
-            raise RuntimeError(f"batch {batch} was committed by another run")
+    def compact(self) -> int:
+        """Put the keys of all committed batches into one manifest; returns the last batch in it."""
+        upto, run = max(self.committed(), default=0), uuid.uuid4().hex
+        if upto > max(self._names("snapshots"), default=0):
+            self.manifest().select(*self.key).write.parquet(f"{self.root}/manifest/run={run}")
+            self._create("snapshots", upto, run)
+        return upto

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import lines
-from siltstone.sources.packages import BINARY_EXT, glob_regex
+from siltstone.sources.packages import glob_regex
 
 MANIFEST = "SKILL.md"
 BINARIES = ["exe", "dll", "so", "dylib", "bin", "msi", "app"]
@@ -94,7 +94,7 @@ def trust(f: DataFrame) -> DataFrame:
 # The engines of each strategy.
 ENGINES = {
     "quick": ["threat_intel", "static_analysis", "credential_theft"],
-    "standard": ["threat_intel", "static_analysis", "credential_theft", "deobfuscation", "ast", "dependency", "prompt_injection", "baseline", "semantic", "entropy", "install_hook", "network"],
+    "standard": ["threat_intel", "static_analysis", "credential_theft", "deobfuscation", "ast", "dependency", "prompt_injection", "baseline", "semantic", "entropy", "install_hook", "network", "social_engineering"],
 }
 ENGINES["full"] = ENGINES["standard"]
 
@@ -141,7 +141,3 @@ def cache_evict(entries: DataFrame, most_bytes: int, share: float = 0.8) -> Data
     w = W.partitionBy("_day").orderBy(F.desc("entry_timestamp"), F.desc("entry_id")).rowsBetween(W.unboundedPreceding, 0)
     run = e.join(newer.select("_day", "_before"), "_day").withColumn("_run", F.col("_before") + F.sum("_n").over(w))
     return run.join(F.broadcast(total)).where((F.col("_total") > most_bytes) & (F.col("_run") > most_bytes * share)).drop("_day", "_n", "_before", "_run", "_total")
-
-
-def binary_files(f: DataFrame) -> DataFrame:
-    return f.where(F.col("ext").isin(*BINARY_EXT))

@@ -46,6 +46,18 @@ def features(f: DataFrame) -> DataFrame:
     return f.select("pkg_id", F.explode(F.array_compact(F.array(*parts))).alias("x")).groupBy("pkg_id").agg(F.array_sort(F.collect_set("x")).alias("features"))
 
 
+def feature_flags(ok: Column) -> dict[str, Column]:
+    """``f_<feature>`` for the features that chains require: whether any finding that is ``ok`` speaks of it; aggregates for one pass over findings."""
+    text = F.lower(F.concat("description", "title"))
+    by: dict[str, list[Column]] = {}
+    for k, v in packs.FEATURE_OF_CATEGORY:
+        by.setdefault(v, []).append(F.contains("category", F.lit(k)))
+    for v, ws in packs.FEATURE_OF_TEXT:
+        by.setdefault(v, []).extend(F.contains(text, F.lit(w)) for w in ws)
+    needed = dict.fromkeys(x for _, _, need, _ in packs.CHAINS for x in need)
+    return {f"f_{x}": F.bool_or(ok & reduce(lambda a, b: a | b, by.get(x, [F.lit(False)]))) for x in needed}
+
+
 def chains(f: DataFrame) -> DataFrame:
     """``pkg_id, chain, severity, n_optional``: attack chains whose required features a package has (relational division)."""
     c = F.array(*[F.struct(F.lit(n).alias("chain"), F.lit(s).alias("severity"), F.array(*[F.lit(x) for x in r]).alias("required"), F.array(*[F.lit(x) for x in o]).alias("optional")) for n, s, r, o in packs.CHAINS])

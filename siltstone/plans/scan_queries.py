@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import entropy, fence_ranges, front_matter_end, lines
-from siltstone.operators import ast_rules, behaviour, decode, intel, line_rules, packages, review, scoring
+from siltstone.operators import ast_rules, behaviour, decode, engines, intel, line_rules, packages, review, scoring
 from siltstone.operators.paths import clean_path
 from siltstone.operators.snapshot_diff import baseline_changes
 from siltstone.rules import packs
@@ -759,6 +759,59 @@ def o208_normal_language(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents").select("doc_id", review.normal_language(F.col("lang")).alias("ui_lang"))
 
 
+_IOCS = values("iocs", ["ioc"], [(x,) for x in packs.IOC])
+_ATTACK = SQL["o024_attack_patterns"].removeprefix(f"WITH {PUT}, {LINES}, ")
+_THEFT = SQL["o109_credential_theft"].removeprefix(f"WITH {PUT}, {LINES}, ")
+_GATE = SQL["o170_preflight"].removeprefix(f"WITH {PUT}, ")
+#: findings of the quick strategy's three engines and the gate, in the common form
+QUICK = f"""WITH {FINDINGS_PUT}, {_IOCS}, attack AS (WITH {_ATTACK}), theft AS (WITH {_THEFT}), gate AS (WITH {_GATE}),
+ raw AS (SELECT file_id, rule_id, severity, category, rule_id AS title, substr(trim(line), 1, 300) AS description, 'static_analysis' AS source FROM kept
+  UNION ALL SELECT file_id, 'TI_' || upper(pattern_id), severity, 'threat_intel', pattern_id, indicator, 'threat_intel' FROM attack
+  UNION ALL SELECT file_id, 'TI_IOC', 'CRITICAL', 'threat_intel', 'ioc ' || CASE WHEN regexp_matches(ioc, '^[0-9]') THEN 'c2' ELSE 'hosting' END, ioc, 'threat_intel' FROM files JOIN iocs ON contains(text, ioc) WHERE NOT {REFERENCE}
+  UNION ALL SELECT file_id, 'CREDTHEFT_' || upper(target), severity, 'credential_theft', target, target, 'credential_theft' FROM theft),
+ found AS (SELECT pkg_id, rel_path AS p, severity, category, title, description, source FROM raw JOIN files USING (file_id) UNION ALL SELECT pkg_id, '', severity, 'preflight', check_id, check_id, 'preflight' FROM gate),
+ t AS (SELECT *, title || chr(10) || description || chr(10) || '' AS text FROM found),
+ judged AS (SELECT *, CASE WHEN {m('text', any_of(packs.TRUE_POSITIVE))} THEN 0 WHEN {m('p', packs.SELF_REFERENCE[1])} THEN CASE WHEN {m('text', packs.SELF_REFERENCE[2])} THEN 0.98 ELSE 0.833 END
+  {" ".join(f"WHEN {m('p', a)} AND {m('text', b)} THEN {c}" for _, a, b, c in packs.FALSE_POSITIVE)} ELSE 0 END > 0.85 AS dropped FROM t),
+ feats AS (SELECT pkg_id, NOT dropped AS ok, category, lower(description || title) AS l, severity, dropped FROM judged)"""
+
+
+def _feature(x: str) -> str:
+    by = [f"contains(category, {quote(k)})" for k, v in packs.FEATURE_OF_CATEGORY if v == x] + [f"contains(l, {quote(w)})" for v, ws in packs.FEATURE_OF_TEXT if v == x for w in ws]
+    return f"bool_or(ok AND ({' OR '.join(by) or 'false'}))"
+
+
+@query(
+    f"""{QUICK}, g AS (SELECT pkg_id, count_if(ok) AS n_findings, count_if(dropped) AS n_dropped, count_if(ok AND severity = 'CRITICAL') AS n_critical, count_if(ok AND severity = 'HIGH') AS n_high,
+  sum(CASE WHEN ok THEN {case('severity', packs.WEIGHT_MAIN, 5)} ELSE 0 END) AS base, CASE WHEN bool_or(ok AND contains(category, 'hook')) THEN 1.5 ELSE 1.0 END::DOUBLE
+  * CASE WHEN bool_or(ok AND contains(category, 'network')) THEN 1.2 ELSE 1.0 END::DOUBLE * CASE WHEN bool_or(ok AND contains(category, 'credential')) THEN 1.3 ELSE 1.0 END::DOUBLE AS factor,
+  ({" + ".join("CAST(" + " AND ".join(_feature(x) for x in need) + " AS INT)" for _, _, need, _ in packs.CHAINS)})::INT AS n_chains FROM feats GROUP BY 1),
+ z AS (SELECT pkg_id, coalesce(n_findings, 0) AS n_findings, coalesce(n_dropped, 0) AS n_dropped, coalesce(n_critical, 0) AS n_critical, coalesce(n_high, 0) AS n_high, coalesce(n_chains, 0) AS n_chains,
+  coalesce(least(100, floor((base + 5 * n_findings) * factor + 1e-9)), 0)::INT AS score FROM (SELECT DISTINCT pkg_id FROM files) LEFT JOIN g USING (pkg_id)) SELECT *, {LEVEL} AS level FROM z"""
+)
+def o222_quick_scan(s: SparkSession, d: str) -> DataFrame:
+    """The quick strategy's engines with gate, filter, correlation and the weighted score."""
+    return engines.scan(_put(s, d), "quick")
+
+
+@query()
+def o222_scan(s: SparkSession, d: str) -> DataFrame:
+    """All engines; without SQL, as two of them are (syntax trees, decoders)."""
+    return engines.scan(_put(s, d), "standard")
+
+
+@query()
+def o178_scan_by_trust(s: SparkSession, d: str) -> DataFrame:
+    """Each package with the engines of the strategy that its trust deserves."""
+    f = _put(s, d)
+    return engines.scan(f, packages.trust(f).select("pkg_id", "strategy"))
+
+
+@query()
+def o036_engine_summaries(s: SparkSession, d: str) -> DataFrame:
+    return engines.engine_summaries(engines.engine_findings(_put(s, d), "standard"))
+
+
 @query(f"WITH {FINDINGS}, found AS (SELECT pkg_id, severity FROM kept), {_score(packs.WEIGHT_MAIN, 5)}")
 def scan_results(s: SparkSession, d: str) -> DataFrame:
     """The flagship: files to static findings in context to scores, one row a package."""

@@ -102,3 +102,34 @@ def test_incremental_survives_failure(spark, tmp_path):
     inc.run(listing(base), lambda d: d)
     assert inc.committed() == [1, 2, 3]
     assert sorted(r.path for r in inc.manifest().collect()) == sorted(f"f{i}" for i in range(10))
+
+
+def test_of_two_runs_for_a_batch_one_wins(spark, tmp_path):
+    base = spark.createDataFrame([(i, "/s", f"f{i}", "a", 1, day(1)) for i in range(6)], HASH)
+    root = str(tmp_path / "state")
+    inc = IncrementalRun(spark, root, VERSION)
+
+    def slow(d):
+        # while it works, another run takes the same batch
+        IncrementalRun(spark, root, VERSION).run(listing(base), lambda x: x.withColumn("by", F.lit("other")))
+        return d.withColumn("by", F.lit("slow"))
+
+    with pytest.raises(RuntimeError):
+        inc.run(listing(base), slow)
+    assert inc.committed() == [1]
+    assert {r["by"] for r in inc.results().collect()} == {"other"} and inc.results().count() == 6
+    # a run that died while it committed leaves an empty file
+    (tmp_path / "state" / "commits" / "2.json").write_text("")
+    inc.GRACE = 0
+    more = spark.createDataFrame([(i, "/s", f"f{i}", "a", 1, day(1)) for i in range(9)], HASH)
+    assert inc.run(listing(more), lambda d: d.withColumn("by", F.lit("next"))) == 2 and inc.results().count() == 9
+
+
+def test_compacted_manifest(spark, tmp_path):
+    inc = IncrementalRun(spark, str(tmp_path / "state"), VERSION)
+    for n in (2, 4, 6):
+        inc.run(listing(spark.createDataFrame([(i, "/s", f"f{i}", "a", 1, day(1)) for i in range(n)], HASH)), lambda d: d)
+    assert inc.compact() == 3 and inc.compact() == 3
+    assert inc.manifest().count() == 6 and len(inc.manifest().inputFiles()) <= 8
+    inc.run(listing(spark.createDataFrame([(i, "/s", f"f{i}", "a", 1, day(1)) for i in range(7)], HASH)), lambda d: d)
+    assert inc.manifest().count() == 7 and inc.results().count() == 7
