@@ -146,8 +146,12 @@ class IncrementalRun:
         return self.spark.read.parquet(*[f"{self.root}/manifest/run={r}" for r in runs]) if runs else None
 
     def results(self) -> DataFrame | None:
-        runs = [r for _, r in sorted(self._names("commits").items())]
-        return self.spark.read.parquet(*[f"{self.root}/data/run={r}" for r in runs]) if runs else None
+        """What all committed batches wrote, with ``batch``."""
+        done = self._names("commits")
+        if not done:
+            return None
+        d = self.spark.read.option("basePath", f"{self.root}/data").parquet(*[f"{self.root}/data/run={r}" for r in done.values()])
+        return d.join(self.spark.createDataFrame(list(done.items()), "batch int, run string"), "run").drop("run")
 
     def pending(self, listing: DataFrame) -> DataFrame:
         """Rows of ``listing`` (unique by key) that no committed batch holds."""
@@ -163,7 +167,7 @@ class IncrementalRun:
 
     def run(self, listing: DataFrame, job: Callable[[DataFrame], DataFrame]) -> int:
         """One batch over what is pending; returns its id."""
-        batch, run = max(self.committed(), default=0) + 1, uuid.uuid4().hex
+        batch, run = max(self.committed(), default=0) + 1, "r" + uuid.uuid4().hex
         todo_at = f"{self.root}/manifest/run={run}"
         self.pending(listing).write.parquet(todo_at)  # fixes what this batch holds
         job(self.spark.read.schema(listing.schema).parquet(todo_at)).write.parquet(f"{self.root}/data/run={run}")
@@ -172,7 +176,7 @@ class IncrementalRun:
 
     def compact(self) -> int:
         """Put the keys of all committed batches into one manifest; returns the last batch in it."""
-        upto, run = max(self.committed(), default=0), uuid.uuid4().hex
+        upto, run = max(self.committed(), default=0), "r" + uuid.uuid4().hex
         if upto > max(self._names("snapshots"), default=0):
             self.manifest().select(*self.key).write.parquet(f"{self.root}/manifest/run={run}")
             self._create("snapshots", upto, run)
