@@ -50,6 +50,16 @@ def front_matter_end(ls: Column, most: int = 100) -> Column:
 FEW_CHARACTERS = 256
 
 
+def _by_runs(symbols: Column) -> Column:
+    """Sum of k log k over the numbers k of equal symbols of an array: the symbols are sorted and the runs followed."""
+
+    def run(acc: Column, c: Column) -> Column:
+        k = F.when(acc["c"] == c, acc["k"]).otherwise(0.0)
+        return F.struct(c.alias("c"), (k + 1).alias("k"), (acc["s"] + (k + 1) * F.log2(k + 1) - F.when(k > 0, k * F.log2(k)).otherwise(0.0)).alias("s"))
+
+    return F.aggregate(F.sort_array(symbols), F.struct(F.lit("").alias("c"), F.lit(0.0).alias("k"), F.lit(0.0).alias("s")), run)["s"]
+
+
 def entropy(text: Column) -> Column:
     """Shannon entropy in bits over code points, rounded to 4 places; 0 for an empty text, null for null.
 
@@ -65,27 +75,15 @@ def entropy(text: Column) -> Column:
         k = (F.octet_length(text) - F.octet_length(F.replace(text, c, F.lit("")))) / F.octet_length(c)
         return acc + k * F.log2(k)
 
-    def run(acc: Column, c: Column) -> Column:
-        same = acc["c"] == c
-        k = F.when(same, acc["k"]).otherwise(0.0)
-        return F.struct(c.alias("c"), (k + 1).alias("k"), (acc["s"] + (k + 1) * F.log2(k + 1) - F.when(k > 0, k * F.log2(k)).otherwise(0.0)).alias("s"))
-
-    by_runs = F.aggregate(F.sort_array(every), F.struct(F.lit("").alias("c"), F.lit(0.0).alias("k"), F.lit(0.0).alias("s")), run)["s"]
-    total = F.when(F.size(chars) <= FEW_CHARACTERS, F.aggregate(chars, F.lit(0.0), part)).otherwise(by_runs)
+    total = F.when(F.size(chars) <= FEW_CHARACTERS, F.aggregate(chars, F.lit(0.0), part)).otherwise(_by_runs(every))
     return F.when(text.isNull(), None).when(F.length(text) == 0, 0.0).otherwise(F.round(F.log2(n) - total / n, 4))
 
 
 def byte_entropy(content: Column) -> Column:
     """Shannon entropy in bits over bytes, rounded to 4 places; 0 for no bytes, null for null."""
-    pairs = F.regexp_replace(F.hex(content), "(..)", "$1 ")
     n = F.octet_length(content).cast("double")
-    values = F.sequence(F.lit(0), F.lit(255))
-
-    def part(acc: Column, b: Column) -> Column:
-        k = (F.length(pairs) - F.length(F.replace(pairs, F.concat(F.lpad(F.hex(b), 2, "0"), F.lit(" ")), F.lit("")))) / 3
-        return acc + F.when(k > 0, k * F.log2(k)).otherwise(0.0)
-
-    return F.when(content.isNull(), None).when(n == 0, 0.0).otherwise(F.round(F.log2(n) - F.aggregate(values, F.lit(0.0), part) / n, 4))
+    total = _by_runs(F.regexp_extract_all(F.hex(content), F.lit(".."), F.lit(0)))
+    return F.when(content.isNull(), None).when(n == 0, 0.0).otherwise(F.round(F.log2(n) - total / n, 4))
 
 
 def any_contains(text: Column, words: list[str]) -> Column:

@@ -102,6 +102,14 @@ ENGINES: dict[str, Callable[[DataFrame], DataFrame]] = {
 }
 
 
+#: strategy -> engines; documents are scanned by all but the quick one
+STRATEGIES = {k: [*v, *(["social_engineering"] if k != "quick" else [])] for k, v in packages.ENGINES.items()}
+
+
+def runs_engine(strategy: Column, engine: str) -> Column:
+    return strategy.isin(*[s for s, es in STRATEGIES.items() if engine in es])
+
+
 def engine_findings(f: DataFrame, strategy: str | DataFrame = "standard", only: list[str] | None = None) -> DataFrame:
     """The findings of all engines that a strategy runs, with ``finding_id`` (a hash of what is found).
 
@@ -113,8 +121,8 @@ def engine_findings(f: DataFrame, strategy: str | DataFrame = "standard", only:
         f = f.join(strategy.select("pkg_id", F.col("strategy").alias("_strategy")), "pkg_id")
     else:
         f = f.withColumn("_strategy", F.lit(strategy))
-    names = [n for n in ENGINES if (only is None or n in only) and (isinstance(strategy, DataFrame) or n in packages.ENGINES.get(strategy, []))]
-    parts = [ENGINES[n](f.where(packages.runs_engine(F.col("_strategy"), n)).drop("_strategy")) for n in names]
+    names = [n for n in ENGINES if (only is None or n in only) and (isinstance(strategy, DataFrame) or n in STRATEGIES.get(strategy, []))]
+    parts = [ENGINES[n](f.where(runs_engine(F.col("_strategy"), n)).drop("_strategy")) for n in names]
     where = f.select("file_id", "pkg_id", F.col("rel_path").alias("file_path"))
     found = reduce(DataFrame.unionByName, parts).join(where, "file_id")
     return found.select(F.xxhash64("file_id", "rule_id", "title", "description", "line_number", "source").alias("finding_id"), *FINDING.split(", "))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import any_contains, explode_lines, pinned
@@ -151,10 +150,13 @@ def without_reserved(networks: DataFrame, spark: SparkSession) -> DataFrame:
 NOT_DOMAIN = "exe|dll|zip|tar|gz|py|js|mjs|sh|json|yaml|yml|toml|md|txt|html|css|png|jpg|svg|conf|cfg|log|bin|pem|lock|map|env|example|local|test|internal"
 
 
+DOMAIN = r"(?:://|@)((?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,6})"
+
+
 def domains_and_ips(f: DataFrame) -> DataFrame:
     """``kind, value``: valid IPv4 literals and domain names in texts, distinct."""
     ip = F.transform(F.regexp_extract_all("text", F.lit(r"(?<![\d.])(\d{1,3}(?:\.\d{1,3}){3})(?![\d.])"), F.lit(1)), lambda x: F.struct(F.lit("ip").alias("kind"), x.alias("value")))
-    dom = F.transform(F.regexp_extract_all("text", F.lit(r"(?:://|@)((?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,8})"), F.lit(1)), lambda x: F.struct(F.lit("domain").alias("kind"), F.lower(x).alias("value")))
+    dom = F.transform(F.regexp_extract_all("text", F.lit(DOMAIN), F.lit(1)), lambda x: F.struct(F.lit("domain").alias("kind"), F.lower(x).alias("value")))
     t = f.where(F.col("text").rlike(r"\d\.\d|://|@")).select(F.explode(F.concat(ip, dom)).alias("t")).select("t.*").distinct()
     return t.where(((F.col("kind") == "ip") & ip_number(F.col("value")).isNotNull()) | ((F.col("kind") == "domain") & ~F.col("value").rlike(rf"\.(?:{NOT_DOMAIN})$")))
 
@@ -197,8 +199,3 @@ def campaign_patterns(f: DataFrame) -> DataFrame:
     same = pre.join(crowd, "prefix").select("pkg_id", F.lit("shared_prefix").alias("pattern"))
     chain = f.where(F.col("text").rlike("(?i)" + any_of(CHAINS))).select("pkg_id", F.lit("execution_chain").alias("pattern")).distinct()
     return named.unionByName(same).unionByName(chain)
-
-
-def first_per(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The first row of each group in an explicit order."""
-    return df.withColumn("_rn", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("_rn = 1").drop("_rn")

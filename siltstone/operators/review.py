@@ -95,3 +95,51 @@ def recommendation(lang: Column, sev: Column) -> Column:
     """Text by language and severity; English where the language has none, else the severity itself."""
     table = {k: F.create_map(*[F.lit(x) for kv in v.items() for x in kv]) for k, v in RECOMMENDATIONS.items()}
     return F.coalesce(*[F.when(lang == k, F.try_element_at(m, sev)) for k, m in table.items()], F.try_element_at(table["en"], sev), sev)
+
+
+def answers(responses: DataFrame, batches_: DataFrame) -> DataFrame:
+    """``finding_id, verdict, verdict_confidence, true_severity, reasoning``: a reviewer's array of answers paired with its batch by position.
+
+    ``responses`` has the batch's key (``pkg_id, file_path, batch_no``) and ``text``:
+    a JSON array, bare or in a fenced block. ``batches_`` is what ``batches`` gives.
+    Findings without an answer are UNCERTAIN at 0.5; answers beyond the batch and
+    texts that hold no array count for nothing.
+    """
+    key = ["pkg_id", "file_path", "batch_no"]
+    n = F.row_number().over(W.partitionBy(*key).orderBy("finding_id")) - 1
+    ordered = batches_.withColumn("at", n)
+    items = F.try_variant_get(json_in(F.col("text")), "$", "array<variant>")
+    r = responses.select(*key, F.posexplode(items).alias("at", "v"))
+    get = lambda k, t="string": F.try_variant_get("v", f"$.{k}", t)
+    r = r.select(*key, "at", F.coalesce(get("verdict"), F.lit("HUMAN_REVIEW")).alias("verdict"), F.coalesce(get("confidence", "double"), F.lit(0.5)).alias("verdict_confidence"), get("true_severity").alias("true_severity"), get("reasoning").alias("reasoning"))
+    on = reduce(lambda a, b: a & b, [F.col(f"o.{c}").eqNullSafe(F.col(f"r.{c}")) for c in [*key, "at"]])
+    j = ordered.alias("o").join(r.alias("r"), on, "left")
+    return j.select("finding_id", F.coalesce("r.verdict", F.lit("UNCERTAIN")).alias("verdict"), F.coalesce("r.verdict_confidence", F.lit(0.5)).alias("verdict_confidence"), "r.true_severity", "r.reasoning")
+
+
+def paired(results: DataFrame, f: DataFrame) -> DataFrame:
+    """``result_id, finding_id``: the first finding of the package whose rule starts with a result's ``answer_id`` or whose title holds it; null if none does.
+
+    Results and findings meet within a package; a package's rules and titles are
+    made distinct first, so equal ones are compared once.
+    """
+    d = f.groupBy("pkg_id", "rule_id", "title").agg(F.min("finding_id").alias("finding_id"))
+    r = results.select("result_id", F.col("pkg_id").alias("_p"), "answer_id")
+    hit = (F.col("_p") == F.col("pkg_id")) & (F.col("rule_id").startswith(F.col("answer_id")) | F.contains("title", F.col("answer_id")))
+    return r.join(d, hit, "left").groupBy("result_id").agg(F.min("finding_id").alias("finding_id"))
+
+
+def review_statistics(reviews: DataFrame) -> DataFrame:
+    """``n, n_tp, n_fp, n_human, sure_fp, sure_tp, fp_rate`` (sure ones above 0.8; the rate in per cent to one place): one row."""
+    sure = lambda v: F.count_if((F.col("verdict") == v) & (F.col("verdict_confidence") > 0.8))
+    n = F.count(F.lit(1))
+    c = lambda v: F.count_if(F.col("verdict") == v)
+    return reviews.agg(n.alias("n"), c("TP").alias("n_tp"), c("FP").alias("n_fp"), c("HUMAN_REVIEW").alias("n_human"), sure("FP").alias("sure_fp"), sure("TP").alias("sure_tp"), F.round(100.0 * sure("FP") / F.greatest(n, F.lit(1)), 1).alias("fp_rate"))
+
+
+def code_context(text: Column, line_number: Column, around: int = 15) -> Column:
+    """Numbered lines around a finding, its own marked with ``>>>``."""
+    ls = lines(text)
+    first = F.greatest(F.lit(1), line_number - around)
+    part = F.slice(ls, first, F.greatest(F.lit(0), F.least(F.size(ls), line_number + around) - first + 1))
+    return F.array_join(F.transform(part, lambda x, i: F.concat(F.when(first + i == line_number, ">>> ").otherwise("    "), (first + i).cast("string"), F.lit(": "), x)), "\n")

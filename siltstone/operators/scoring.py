@@ -157,10 +157,16 @@ def techniques(f: DataFrame) -> DataFrame:
 
 
 def maximal(strings: DataFrame, key: str = "file_id", col: str = "decoded", least: int = 30) -> DataFrame:
-    """Decoded strings of at least ``least`` characters that no longer one of the same file contains."""
+    """Decoded strings of at least ``least`` characters that no longer one of the same file contains.
+
+    A string can only stand in those that have its first ``least`` characters
+    somewhere, so the longer ones are looked up by all their parts of that size.
+    """
     s = strings.where(F.length(col) >= least).select(key, col).distinct()
-    o = s.select(F.col(key).alias("_k"), F.col(col).alias("_o"))
-    return s.join(o, (F.col(key) == F.col("_k")) & (F.length("_o") > F.length(col)) & F.contains("_o", F.col(col)), "left_anti")
+    parts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(col) - least + 1), lambda i: F.substring(F.col(col), i, F.lit(least))))
+    o = s.where(F.length(col) > least).select(F.col(key).alias("_k"), F.col(col).alias("_o"), F.explode(parts).alias("_p"))
+    starts = F.substring(F.col(col), 1, least)
+    return s.join(o, (F.col(key) == F.col("_k")) & (starts == F.col("_p")) & (F.length("_o") > F.length(col)) & F.contains("_o", F.col(col)), "left_anti")
 
 
 def verdicts(f: DataFrame, self_root: str | None = None) -> DataFrame:

@@ -200,21 +200,6 @@ def o024_attack_patterns(s: SparkSession, d: str) -> DataFrame:
     return intel.attack_patterns(_put(s, d))
 
 
-NETWORKS = ["10.1.0.0/16", "192.0.2.0/24", "203.0.112.0/22"]
-IPSQL = r"(regexp_extract({0}, '^(\d+)', 1)::BIGINT * 16777216 + regexp_extract({0}, '^\d+\.(\d+)', 1)::BIGINT * 65536 + regexp_extract({0}, '^\d+\.\d+\.(\d+)', 1)::BIGINT * 256 + regexp_extract({0}, '^\d+\.\d+\.\d+\.(\d+)', 1)::BIGINT)"
-
-
-@query(
-    f"""WITH {values("nets", ["cidr"], [(x,) for x in NETWORKS])}, n AS (SELECT cidr, {IPSQL.format('cidr')} AS lo, pow(2, 32 - regexp_extract(cidr, '/(\\d+)$', 1)::INT)::BIGINT AS size FROM nets),
- e AS (SELECT event_id, (event_id * 7919) % 256 AS a FROM (SELECT row_number() OVER () AS event_id FROM range(5000))),
- ips AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN '10.1.' WHEN 1 THEN '192.0.' ELSE '203.0.' END || ((event_id * 31) % 256) || '.' || a AS ip FROM e)
- SELECT event_id, ip, cidr FROM ips JOIN n ON {IPSQL.format('ip')} BETWEEN lo AND lo + size - 1"""
-)
-def o028_network_reputation(s: SparkSession, d: str) -> DataFrame:
-    """Addresses made from a row number against three networks."""
-    e = s.range(1, 5001).withColumnRenamed("id", "event_id")
-    ip = F.concat(F.when(F.col("event_id") % 3 == 0, "10.1.").when(F.col("event_id") % 3 == 1, "192.0.").otherwise("203.0."), (F.col("event_id") * 31 % 256).cast("string"), F.lit("."), (F.col("event_id") * 7919 % 256).cast("string"))
-    return intel.in_networks(e.withColumn("ip", ip), s.createDataFrame([(x,) for x in NETWORKS], "cidr string")).select("event_id", "ip", "cidr")
 
 
 @query(
@@ -402,10 +387,6 @@ def o086_technique_usage(s: SparkSession, d: str) -> DataFrame:
     return decode.technique_usage(planted(_files(s, d)))
 
 
-@query("WITH f AS (SELECT file_id FROM skill_file WHERE file_id % 7 = 4) SELECT file_id, 'hello world again!' AS decoded FROM f")
-def o089_assembled_fragments(s: SparkSession, d: str) -> DataFrame:
-    return decode.assembled_fragments(planted(_files(s, d)))
-
 
 @query(f"WITH {FILES} SELECT file_id, CASE WHEN text = '' THEN 0.0 ELSE round(list_aggregate(string_split(text, ''), 'entropy'), 4) END AS entropy FROM files")
 def o110_entropy(s: SparkSession, d: str) -> DataFrame:
@@ -500,15 +481,6 @@ def o140_ast_findings(s: SparkSession, d: str) -> DataFrame:
     return ast_rules.ast_findings(_put(s, d))
 
 
-@query()
-def o150_dependencies(s: SparkSession, d: str) -> DataFrame:
-    """Without SQL: three formats of manifests; tested on small ones."""
-    return behaviour.dependencies(_put(s, d))
-
-
-@query()
-def o152_vulnerable(s: SparkSession, d: str) -> DataFrame:
-    return behaviour.vulnerable(behaviour.dependencies(_put(s, d)), s)
 
 
 # --- state
@@ -561,10 +533,6 @@ def o170_preflight(s: SparkSession, d: str) -> DataFrame:
     return packages.preflight(_put(s, d))
 
 
-@query()
-def o173_trust(s: SparkSession, d: str) -> DataFrame:
-    return packages.trust(_files(s, d))
-
 
 @query(
     f"""WITH {FILES} SELECT pkg_id, count(*) AS n_files, sum(size)::BIGINT AS n_bytes, bool_or(lower(name) = 'skill.md') AS has_manifest, bool_or(lower(name) IN ('requirements.txt', 'package.json', 'pyproject.toml')) AS has_dependencies,
@@ -690,10 +658,6 @@ def o209_output_language(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents").select("doc_id", scoring.language_of_output(F.col("text")).alias("output_lang"))
 
 
-@query()
-def o210_domains_and_ips(s: SparkSession, d: str) -> DataFrame:
-    return intel.domains_and_ips(_put(s, d))
-
 
 @query(
     f"WITH {FILES} SELECT DISTINCT ext AS value, ext NOT IN ('py', 'md', 'exe') AS is_new FROM files WHERE ext IS NOT NULL UNION SELECT 'exe', false"

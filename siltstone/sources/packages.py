@@ -124,3 +124,31 @@ def pruning(f: DataFrame) -> DataFrame:
         F.col("name").isin(*LOCKFILES).alias("is_lockfile"),
         F.col("ext").isin(*BINARY_EXT).alias("is_binary"),
     )
+
+
+def discover(spark: SparkSession, bases: dict[str, list[str]]) -> DataFrame:
+    """``platform, path, kind``: package folders (those that hold a manifest, in any casing) below each platform's base folders.
+
+    ``kind`` is marketplace or system after a folder of that name in the path,
+    else local. Base folders that don't exist hold nothing; a folder is listed
+    once a platform. No file is read.
+    """
+    out = None
+    for platform, dirs in bases.items():
+        for d in dirs:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(d)
+            if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+                continue
+            r = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "[Ss][Kk][Ii][Ll][Ll].[Mm][Dd]").load(d)
+            r = r.select(F.lit(platform).alias("platform"), F.regexp_replace("path", "/[^/]+$", "").alias("path"))
+            out = r if out is None else out.unionByName(r)
+    if out is None:
+        return spark.createDataFrame([], "platform string, path string, kind string")
+    parts = F.split(F.lower("path"), "/")
+    kind = F.when(F.array_contains(parts, "marketplace"), "marketplace").when(F.array_contains(parts, "system"), "system").otherwise("local")
+    return out.distinct().withColumn("kind", kind)
+
+
+def detect_platform(env: dict[str, str], marks: list[tuple[str, str]], default: str = "local") -> str:
+    """The platform of the first environment variable of ``marks`` (variable, platform) that is set."""
+    return next((p for v, p in marks if env.get(v)), default)
