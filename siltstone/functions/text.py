@@ -75,7 +75,8 @@ def entropy(text: Column) -> Column:
         k = (F.octet_length(text) - F.octet_length(F.replace(text, c, F.lit("")))) / F.octet_length(c)
         return acc + k * F.log2(k)
 
-    total = F.when(F.size(chars) <= FEW_CHARACTERS, F.aggregate(chars, F.lit(0.0), part)).otherwise(_by_runs(every))
+    few = (F.octet_length(text) == F.length(text)) | (F.size(chars) <= FEW_CHARACTERS)  # ASCII has few
+    total = F.when(few, F.aggregate(chars, F.lit(0.0), part)).otherwise(_by_runs(every))
     return F.when(text.isNull(), None).when(F.length(text) == 0, 0.0).otherwise(F.round(F.log2(n) - total / n, 4))
 
 

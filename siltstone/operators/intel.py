@@ -77,18 +77,22 @@ def not_executable(line: Column) -> Column:
 EXFIL_TYPE = ["config_exfiltration", "credential_harvesting", "webhook_exfiltration"]
 
 
-def downgraded(base: Column, trusted: Column, pattern_id: Column, indicator: Column, line: Column, reads: Column, sends: Column) -> Column:
+def line_flags(line: Column) -> dict[str, Column]:
+    """What a line says for its severity: an environment read, a value taken with ``get``, from a parsed configuration, a count of a model's tokens."""
+    s = F.trim(F.regexp_replace(line, r"^\s+|\s+$", ""))
+    return {"env": s.rlike(any_of(packs.ENV_READ)), "got": s.rlike(packs.CONFIG_GET), "config": any_contains(s, packs.CONFIG_SOURCE), "model": F.contains(F.lower(s), F.lit("token")) & s.rlike(JAVA + any_of(packs.MODEL_TOKENS))}
+
+
+def downgraded(base: Column, pattern_id: Column, indicator: Column, trusted: Column, chain: Column, at: Column) -> Column:
     """Severity in context, the first that holds: a trusted domain in the file and an environment read on the line; a trusted
     domain and a pattern of exfiltration; a value taken from a parsed configuration; a broad indicator that counts a model's
     tokens (all INFO), or that stands in a file that doesn't both read files and send (MEDIUM at most)."""
-    s = F.trim(F.regexp_replace(line, r"^\s+|\s+$", ""))
-    broad = indicator.isin(*packs.BROAD)
     return (
-        F.when(trusted & s.rlike(any_of(packs.ENV_READ)), "INFO")
+        F.when(trusted & at["env"], "INFO")
         .when(trusted & pattern_id.isin(*EXFIL_TYPE), "INFO")
-        .when(s.rlike(packs.CONFIG_GET), F.when(any_contains(s, packs.CONFIG_SOURCE), "INFO").otherwise(base))
-        .when((indicator == "token") & s.rlike(JAVA + any_of(packs.MODEL_TOKENS)), "INFO")
-        .when(broad & ~(reads & sends) & base.isin("CRITICAL", "HIGH"), "MEDIUM")
+        .when(at["got"], F.when(at["config"], "INFO").otherwise(base))
+        .when((indicator == "token") & at["model"], "INFO")
+        .when(indicator.isin(*packs.BROAD) & ~chain & base.isin("CRITICAL", "HIGH"), "MEDIUM")
         .otherwise(base)
     )
 
@@ -98,16 +102,18 @@ def attack_patterns(f: DataFrame, trusted: list[str] = packs.TRUSTED) -> DataFra
     lits = sorted({x.lower() for _, _, _, x in INDICATORS})
     src = pinned(f.where(~reference_json(F.col("name"))), "low", folded(F.col("text"))).where(any_contains(F.col("low"), lits))
     t = F.col("text")
-    flags = {"trusted": any_contains(F.col("low"), trusted), "reads": t.rlike(packs.READS_FILE), "sends": t.rlike(packs.SENDS)}
+    flags = {"trusted": any_contains(F.col("low"), trusted), "chain": any_contains(t, packs.READS_FILE) & any_contains(t, packs.SENDS)}
     rows = explode_lines(src.select("file_id", "text", *[c.alias(k) for k, c in flags.items()]))
     rows = pinned(rows, "_ll", folded(F.col("line")))
     low = F.col("_ll")
     ix = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(x.lower())), F.lit(k)) for k, (_, _, _, x) in enumerate(INDICATORS)]))
-    rows = rows.where(any_contains(low, lits)).where(~rule_line(F.col("line")) & ~not_executable(F.col("line"))).withColumn("ix", F.explode(ix))
+    rows = rows.where(any_contains(low, lits)).where(~rule_line(F.col("line")) & ~not_executable(F.col("line")))
+    # the line goes no further than what it says
+    rows = pinned(rows, "at", F.struct(*[c.alias(k) for k, c in line_flags(F.col("line")).items()])).withColumn("ix", F.explode(ix))
     pick = lambda k: F.element_at(F.array(*[F.lit(i[k]) for i in INDICATORS]), F.col("ix") + 1)
-    best = rows.withColumn("pattern_id", pick(0)).groupBy("file_id", "pattern_id").agg(F.min(F.struct("ix", "line_no", "line")).alias("b"), *[F.first(k).alias(k) for k in flags])
+    best = rows.withColumn("pattern_id", pick(0)).groupBy("file_id", "pattern_id").agg(F.min(F.struct("ix", "line_no", "at")).alias("b"), *[F.first(k).alias(k) for k in flags])
     best = best.withColumn("ix", F.col("b.ix")).withColumn("indicator", pick(3))
-    sev = downgraded(pick(1), F.col("trusted"), F.col("pattern_id"), F.col("indicator"), F.col("b.line"), F.col("reads"), F.col("sends"))
+    sev = downgraded(pick(1), F.col("pattern_id"), F.col("indicator"), F.col("trusted"), F.col("chain"), F.col("b.at"))
     return best.select("file_id", "pattern_id", sev.alias("severity"), "indicator", F.col("b.line_no").alias("line_no"))
 
 

@@ -189,7 +189,7 @@ _CLAUSES = [
     f"""WITH {PUT}, {LINES}, {values("ind", ["pattern_id", "severity", "ord", "indicator", "ix"], [(*i, k) for k, i in enumerate(intel.INDICATORS)])},
  ok AS (SELECT l.* FROM lines l WHERE NOT {REFERENCE} AND NOT {m('trim(line)', any_of(packs.RULE_LINE))} AND NOT ({" OR ".join(f"({c})" for c in _CLAUSES)})),
  best AS (SELECT file_id, pattern_id, min((ix, line_no, line)) AS b FROM ok JOIN ind ON contains(lower(line), lower(indicator)) GROUP BY 1, 2),
- flags AS (SELECT file_id, {_TRUST.format('text')} AS trusted, {m('text', packs.READS_FILE, 'c')} AND {m('text', packs.SENDS, 'c')} AS rs FROM files),
+ flags AS (SELECT file_id, {_TRUST.format('text')} AS trusted, ({" OR ".join(f"contains(text, {quote(x)})" for x in packs.READS_FILE)}) AND ({" OR ".join(f"contains(text, {quote(x)})" for x in packs.SENDS)}) AS rs FROM files),
  x AS (SELECT file_id, b.pattern_id, i.severity, i.indicator, struct_extract(b.b, 2)::INT AS line_no, {_T.replace('line', 'struct_extract(b.b, 3)')} AS t, trusted, rs FROM best b JOIN ind i ON i.ix = struct_extract(b.b, 1) JOIN flags USING (file_id))
  SELECT file_id, pattern_id, CASE WHEN trusted AND {m('t', any_of(packs.ENV_READ), 'c')} OR trusted AND pattern_id IN {inlist(intel.EXFIL_TYPE)} THEN 'INFO'
   WHEN {m('t', packs.CONFIG_GET, 'c')} THEN CASE WHEN {" OR ".join(f"contains(t, {quote(c)})" for c in packs.CONFIG_SOURCE)} THEN 'INFO' ELSE severity END

@@ -256,7 +256,7 @@ MODEL_TOKENS = [
 ]
 CONFIG_GET = r"\.get\(['\"]\w+_?(?:secret|token|key|api|id)['\"]"
 CONFIG_SOURCE = ["json.loads", "json.load", "yaml.safe_load", "config[", "data[", "response["]
-READS_FILE, SENDS = r"(?:open|readFile|cat|fs\.read)", r"(?:requests\.|fetch\(|urllib|httpx|curl|wget)"
+READS_FILE, SENDS = ["open", "readFile", "cat", "fs.read"], ["requests.", "fetch(", "urllib", "httpx", "curl", "wget"]
 ENV_READ = [r"os\.environ\.get\(", r"os\.environ\[", r"process\.env\.", r"getenv\(", r"get_env\(", r"System\.getenv", r"ENV\[", r"config\.from_env"]
 RULE_LINE = [
     r"\"?pattern\"?\s*[:=]", r"\"?regex\"?\s*[:=]", r"\"?indicator\"?\s*[:=]", r"\"?rule\"?\s*[:=]", r"\"name\"\s*:", r"\"description\"\s*:", r"\"severity\"\s*:",
