@@ -30,9 +30,16 @@ def name_matches(packages: DataFrame, names: DataFrame, typos: DataFrame) -> Dat
     p = packages.select("pkg_id", F.lower(F.trim("name")).alias("n")).where("n <> ''")
     known = p.join(small(names.select(F.lower("name").alias("n")).distinct()), "n", "left_semi").select("pkg_id", F.lit("known").alias("kind"), F.col("n").alias("match"))
     rest = p.join(known, "pkg_id", "left_anti")
-    t = small(typos.select("ord", F.lower("pattern").alias("t")))
+    t = typos.select("ord", F.lower("pattern").alias("t")).where("t <> ''")
     bare = lambda c: F.replace(F.col(c), F.lit("-"), F.lit(""))
-    hit = rest.join(t, F.col("n").startswith(F.col("t")) | F.col("t").startswith(F.col("n")) | (bare("n") == bare("t")))
+    starts = lambda c: F.explode(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.substring(F.col(c), F.lit(1), i)))
+    # each way to match is an equality, so lists of any size meet by hash
+    ways = [
+        rest.select("pkg_id", starts("n").alias("k")).join(t.withColumn("k", F.col("t")), "k"),
+        rest.withColumn("k", F.col("n")).join(t.select("ord", "t", starts("t").alias("k")), "k"),
+        rest.withColumn("k", bare("n")).join(t.withColumn("k", bare("t")), "k"),
+    ]
+    hit = reduce(DataFrame.unionByName, [w.select("pkg_id", "ord", "t") for w in ways])
     return known.unionByName(hit.groupBy("pkg_id").agg(F.lit("typosquat").alias("kind"), F.min_by("t", "ord").alias("match")))
 
 

@@ -48,8 +48,8 @@ def statistics(f: DataFrame) -> DataFrame:
 
 def fingerprint(f: DataFrame) -> DataFrame:
     """Order-free digest of a package's (path, content) pairs: count and two sums of hashes, so that no package is gathered in one place."""
-    h = F.xxhash64("rel_path", "text")
-    u = f.select("pkg_id", "rel_path", "text").distinct()
+    h = F.col("h")
+    u = f.select("pkg_id", F.xxhash64("rel_path", "text").alias("h")).distinct()
     return u.groupBy("pkg_id").agg(F.md5(F.concat_ws(":", F.count(F.lit(1)), F.bit_xor(h), F.sum(h.cast("decimal(38,0)")))).alias("fingerprint"))
 
 

@@ -71,11 +71,19 @@ def negative_examples(finding: DataFrame, skill_file: DataFrame, around: int = 1
     return f.join(s, ["skill_name", "path"]).select("finding_id", F.exists("warns", lambda w: w.between(n - around, n + around)).alias("is_negative"))
 
 
+RANGE = 100_000  # ids that are ordered together
+
+
 def batches(f: DataFrame, threshold: str = "MEDIUM", size: int = 20) -> DataFrame:
     """``finding_id, batch_no``: findings of at least a severity, numbered per file and cut into batches of ``size``."""
-    g = f.where(severity_rank(F.col("severity")) >= severity_rank(F.lit(threshold)))
-    n = F.row_number().over(W.partitionBy("pkg_id", "file_path").orderBy("finding_id"))
-    return g.select("finding_id", "pkg_id", "file_path", F.floor((n - 1) / size).cast("int").alias("batch_no"))
+    g = f.where(severity_rank(F.col("severity")) >= severity_rank(F.lit(threshold))).select("finding_id", "pkg_id", "file_path", F.floor(F.col("finding_id") / RANGE).alias("_b"))
+    # findings without a path may be a third of all: they are ordered within ranges of ids, and the ranges' counts are added up
+    key = ["pkg_id", "file_path"]
+    ranges = g.groupBy(*key, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    ranges = ranges.select(*[F.col(k).alias(f"_{k}") for k in key], F.col("_b").alias("_r"), F.coalesce(F.sum("_n").over(W.partitionBy(*key).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    on = (F.col("_b") == F.col("_r")) & reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key])
+    n = F.row_number().over(W.partitionBy(*key, "_b").orderBy("finding_id")) + F.col("_before")
+    return g.join(ranges, on).select("finding_id", *key, F.floor((n - 1) / size).cast("int").alias("batch_no"))
 
 
 def merge(f: DataFrame, verdicts: DataFrame) -> DataFrame:

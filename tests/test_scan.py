@@ -221,6 +221,33 @@ def test_discovery(spark, tmp_path):
     assert detect_platform({"X": "1"}, [("Y", "y"), ("X", "x")]) == "x" and detect_platform({}, [("Y", "y")]) == "local"
 
 
+def examples(pattern):
+    """A line that the pattern finds, in printable ASCII where it allows that, or None."""
+    import warnings
+
+    from hypothesis import strategies as st
+
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        try:
+            x = st.from_regex(re.compile(pattern, re.I), alphabet=st.characters(min_codepoint=32, max_codepoint=126)).example()
+        except Exception:  # noqa: BLE001  patterns with other characters
+            return None
+    return x if "\n" not in x and re.search(pattern, x, re.I) else None
+
+
+def test_every_pattern_hits_as_python_does(spark):
+    """Each static and document pattern on a line made for it and on that line without its first and last character, against ``re``."""
+    for pats, hits, name in ((line_rules.STATIC_ALL, line_rules.static_hits, "x.py"), (line_rules.DOC_PATTERNS, line_rules.document_hits, "x.md")):
+        at = 4 if name == "x.py" else 2
+        ls = [x for x in (examples(p[at]) for p in pats) if x]
+        assert len(ls) > 0.7 * len(pats)
+        ls += [x[1:] for x in ls] + [x[:-1] for x in ls]
+        got = {(r.file_id, r.pattern_ix) for r in hits(files(spark, ls, name)).select("file_id", "pattern_ix").collect()}
+        want = {(i, k) for i, x in enumerate(ls) for k, p in enumerate(pats) if re.search(p[at], x, re.I | re.A)}
+        assert got == want, [(ls[i], pats[k][at]) for i, k in sorted(got ^ want)[:5]]
+
+
 PARTS = (change_queries, scan_queries, state_queries)
 #: the engines' scans are compared at the larger size by tests/oracle.py
 NAMES = [q for p in PARTS for q in p.SQL if q != "o222_quick_scan"]
