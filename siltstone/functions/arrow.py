@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import io
 import os
+import shutil
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
@@ -41,7 +43,9 @@ def ship(spark: SparkSession) -> None:
         for p in sorted(root.rglob("*")):
             if p.is_file() and p.suffix in (".py", ".ebnf", ".json", ".txt"):
                 z.write(p, p.relative_to(root.parent))
-    at = os.path.join(tempfile.mkdtemp(prefix="siltstone-code-"), "siltstone_code.zip")  # read by the driver's file server only
+    folder = tempfile.mkdtemp(prefix="siltstone-code-")  # read by the driver's file server only
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    at = os.path.join(folder, "siltstone_code.zip")
     Path(at).write_bytes(data.getvalue())
     spark.sparkContext.addPyFile(at)
     _shipped.add(app)

@@ -38,6 +38,14 @@ ADVICE = {
     "credential_theft": "Stop the installation and change the credentials concerned.",
 }
 OTHER_ADVICE = "Have a person look at this finding."
+#: kind of finding -> title, risk, what to do
+REMEDIES = {
+    "base64_decode_execute": ("Decoded and run", "May hide malicious code and do unknown harm", "Look at what it decodes to before running it"),
+    "credential_theft": ("Theft of credentials", "May take keys, cloud credentials or a browser's passwords", "Remove the code that reads them; authenticate by environment or a key service"),
+    "reverse_shell": ("Reverse shell", "Lets an attacker control the machine", "Remove it; use a proper tool for remote work"),
+    "prompt_injection": ("Prompt injection", "May get round the system's limits", "Check and clean what users put in"),
+    "exfiltration": ("Exfiltration", "May send sensitive data to other servers", "Remove the transfer or check its target against a list"),
+}
 LEVELS = {
     "EXTREME": ("Severe risk: credentials may leak, the system may be taken over", "red", "Stop using it and check all configuration"),
     "HIGH": ("High risk: weaknesses that can be exploited", "yellow", "Mend what is high before using it"),
@@ -57,6 +65,11 @@ def advice(category: Column) -> Column:
     return _lookup(ADVICE, category, F.lit(OTHER_ADVICE))
 
 
+def remedy(kind: Column) -> list[Column]:
+    """Title, risk and remedy of a kind of finding; null for others."""
+    return [_lookup({k: v[i] for k, v in REMEDIES.items()}, kind).alias(n) for i, n in enumerate(("title", "risk", "fix"))]
+
+
 def risk_details(scores: DataFrame) -> DataFrame:
     """``pkg_id, score, level, description, colour, recommendation``; below 5 SAFE."""
     lv = F.when(F.col("score") >= 80, "EXTREME").when(F.col("score") >= 50, "HIGH").when(F.col("score") >= 20, "MEDIUM").when(F.col("score") >= 5, "LOW").otherwise("SAFE")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.operators import behaviour, decode, engines, intel, packages, reports, review, scoring, state
+from siltstone.operators import behaviour, decode, engines, intel, packages, reports, review, scoring, state, trusted
 from siltstone.plans.scan_queries import FILES, FOUND, LEVEL, MANIFESTS, META, PUT, _findings, _files, _put, case, inlist, m, rank
 from siltstone.rules import packs
 from siltstone.rules.fold import quote, values
@@ -290,6 +290,27 @@ def o124_drop_summary(s: SparkSession, d: str) -> DataFrame:
     return engines.drop_summary(scoring.verdicts(_findings(s, d).withColumn("evidence", F.lit(None).cast("string"))))
 
 
+@query(
+    f"""WITH {PUT}, old AS (SELECT DISTINCT coalesce(rel_path, '') || ':' || substr(sha256(text), 1, 16) AS k FROM files WHERE file_id % 3 = 0)
+ SELECT file_id FROM files WHERE coalesce(rel_path, '') || ':' || substr(sha256(text), 1, 16) NOT IN (SELECT k FROM old)"""
+)
+def o072_files_to_audit(s: SparkSession, d: str) -> DataFrame:
+    """A third of the files were audited within the day, a third too long ago."""
+    f = _put(s, d)
+    k = F.col("file_id") % 3
+    cache = f.where(k < 2).select(trusted.audit_key(F.col("rel_path"), F.col("text")).alias("key"), F.when(k == 0, 1_000_000.0).otherwise(0.0).alias("cached_at"))
+    return trusted.to_audit(f, cache, 1_000_000.0 + 3600).select("file_id")
+
+
+@query(
+    f"""WITH {PUT}, d AS (SELECT DISTINCT lower(x) AS value FROM (SELECT unnest(regexp_extract_all(text, {quote(intel.DOMAIN)}, 1)) AS x FROM files) WHERE NOT regexp_matches(lower(x), {quote(rf'\.(?:{intel.NOT_DOMAIN})$')}))
+ SELECT value, list_contains({packs.TRUSTED}, value) OR len(list_filter({packs.TRUSTED}, lambda t: ends_with(value, '.' || t))) > 0 AS is_trusted FROM d"""
+)
+def o172_trusted_domains(s: SparkSession, d: str) -> DataFrame:
+    v = intel.domains_and_ips(_put(s, d)).where("kind = 'domain'")
+    return v.select("value", trusted.domain_trusted(F.col("value"), packs.TRUSTED).alias("is_trusted"))
+
+
 _PARTS = "((?:part|chunk|seg)\\w*)\\s*=\\s*[\"'']([A-Za-z0-9+/=]{4,})[\"'']"
 # the pieces differ by file, so that the text that comes out does as well
 _PIECE = "\npart1 = 'aGVsbG8g'\nchunk_b = '{0}'\nseg9 = 'YWdhaW4h'\npart1 = 'SGVsbG8g'\n"

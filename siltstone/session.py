@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -18,6 +20,9 @@ DEFAULTS = {
 }
 
 
+_own: list[str] = []  # this process's folder for local sessions without a setting
+
+
 def get_spark(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g", **conf: str) -> SparkSession:
     """A local session for tests and the bench; clusters bring their own."""
     b = SparkSession.builder.master(f"local[{cores}]").appName("siltstone")
@@ -32,6 +37,8 @@ def get_spark(cores: int | str = "*", shuffle_partitions: int = 8, memory: str =
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``.
 
+    A local session's own folder goes with the process.
+
     Only a local session without that setting gets a folder of its own; a
     cluster without it is an error, as a machine-local folder would not survive
     the loss of an executor.
@@ -42,8 +49,10 @@ def shared_dir(spark: SparkSession) -> str:
     if not d:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        d = os.path.join(tempfile.gettempdir(), f"siltstone-{os.getuid()}")
-        os.makedirs(d, exist_ok=True)
+        if not _own:
+            _own.append(tempfile.mkdtemp(prefix="siltstone-"))
+            atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
+        d = _own[0]
     return d
 
 
@@ -58,7 +67,3 @@ def checkpoint(df: DataFrame) -> DataFrame:
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
-
-
-def default_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

@@ -59,3 +59,20 @@ def test_caches(spark):
     assert state.cache_expire(c, 20.0 + 7 * 86400).count() == 3
     assert {r.entry_id for r in state.cache_invalidate(c, spark.createDataFrame([("/s/a",)], "skill_path string")).collect()} == {3, 4, 5}
     assert state.cache_statistics(c).head().n_unreadable == 2 and state.cache_statistics(c.limit(0)).head().n_bytes == 0
+
+
+def test_trusted_lists(spark, tmp_path):
+    from siltstone.operators import reports, trusted
+
+    p = str(tmp_path / "w.json")
+    assert trusted.read_lists(p) == {k: [] for k in trusted.SETS}
+    trusted.write_lists({"trusted_domains": ["b.org", "a.org"], "exempt_rules": ["R1"]}, p)
+    lists = trusted.read_lists(p)
+    assert lists["trusted_domains"] == ["a.org", "b.org"] and lists["safe_paths"] == []
+    d = spark.createDataFrame([("x.A.org", "os.walk", "tests/a.py"), ("xa.org", "walk", "src/a.py"), (None, None, None)], "d string, f string, p string")
+    r = d.select(trusted.domain_trusted(F.col("d"), ["a.org"]), trusted.function_safe(F.col("f"), ["walk"]), trusted.path_safe(F.col("p"), ["tests/*"])).collect()
+    assert [tuple(x) for x in r] == [(True, True, True), (False, True, False), (False, False, False)]
+    f = spark.createDataFrame([("R1",), ("R2",)], "rule_id string")
+    assert [x.rule_id for x in trusted.without_exempt(f, ["R1"]).collect()] == ["R2"] and trusted.without_exempt(f, []).count() == 2
+    k = spark.createDataFrame([("reverse_shell",), ("x",)], "k string")
+    assert [x.title for x in k.select(*reports.remedy(F.col("k"))).collect()] == ["Reverse shell", None]
